@@ -10,12 +10,17 @@ from .common import table
 from .language_id import language_id
 from . import sentencepiece_nbest
 from .media import media_columns
+from .simhash import simhash
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash(table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_nbest.digest(sentencepiece_nbest.encode(table(spark, sf_dir, "documents")))
 
@@ -27,6 +32,7 @@ def op10_media_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_language_id": op4_language_id,
+        "op5_simhash": op5_simhash,
         "op6_sentencepiece": op6_sentencepiece,
         "op10_media_wav": op10_media_wav,
     }
