@@ -11,6 +11,7 @@ from .language_id import language_id
 from . import sentencepiece_nbest
 from .media import media_columns
 from .simhash import simhash
+from .warc import warc_round_trip
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_nbest.digest(sentencepiece_nbest.encode(table(spark, sf_dir, "documents")))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_media_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
@@ -34,6 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op5_simhash": op5_simhash,
         "op6_sentencepiece": op6_sentencepiece,
+        "op7_warc": op7_warc,
         "op10_media_wav": op10_media_wav,
     }
 
