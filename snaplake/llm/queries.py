@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .crf_quality import quality
 from .language_id import language_id
 from . import sentencepiece_nbest
 from .media import media_columns
@@ -14,6 +15,10 @@ from .simhash import simhash
 from .warc import warc_round_trip
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,7 @@ def op10_media_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality": op3_quality,
         "op4_language_id": op4_language_id,
         "op5_simhash": op5_simhash,
         "op6_sentencepiece": op6_sentencepiece,
