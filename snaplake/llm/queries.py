@@ -12,9 +12,14 @@ from .language_id import language_id
 from . import sentencepiece_nbest
 from .media import media_columns
 from .simhash import simhash
+from .toxicity import toxicity
 from .warc import warc_round_trip
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,6 +46,7 @@ def op10_media_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": op2_toxicity,
         "op3_quality": op3_quality,
         "op4_language_id": op4_language_id,
         "op5_simhash": op5_simhash,
