@@ -11,6 +11,7 @@ from .crf_quality import quality
 from .language_id import language_id
 from . import sentencepiece_nbest
 from .media import media_columns
+from .quality_rules import quality_rules
 from .simhash import simhash
 from .toxicity import toxicity
 from .warc import warc_round_trip
@@ -40,6 +41,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op10_media_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
@@ -52,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash": op5_simhash,
         "op6_sentencepiece": op6_sentencepiece,
         "op7_warc": op7_warc,
+        "op8_quality_rules": op8_quality_rules,
         "op10_media_wav": op10_media_wav,
     }
 
