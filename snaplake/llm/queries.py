@@ -10,6 +10,7 @@ from .common import table
 from .crf_quality import quality
 from .language_id import language_id
 from . import sentencepiece_nbest
+from .line_dedup import line_report
 from .media import media_columns
 from .quality_rules import quality_rules
 from .simhash import simhash
@@ -17,6 +18,10 @@ from .toxicity import toxicity
 from .warc import warc_round_trip
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +56,7 @@ def op10_media_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_toxicity": op2_toxicity,
         "op3_quality": op3_quality,
         "op4_language_id": op4_language_id,
