@@ -12,6 +12,7 @@ from .language_id import language_id
 from . import sentencepiece_nbest
 from .line_dedup import line_report
 from .media import media_columns
+from .mixing import domains_of_labels, mixing
 from .quality_rules import quality_rules
 from .simhash import simhash
 from .toxicity import toxicity
@@ -50,6 +51,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing(table(spark, sf_dir, "documents"), domains_of_labels(table(spark, sf_dir, "labels")))
+
+
 def op10_media_wav(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sentencepiece": op6_sentencepiece,
         "op7_warc": op7_warc,
         "op8_quality_rules": op8_quality_rules,
+        "op9_mixing": op9_mixing,
         "op10_media_wav": op10_media_wav,
     }
 
