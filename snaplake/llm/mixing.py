@@ -1,6 +1,6 @@
 """Mixing to target weights with soft memberships.
 
-Classifier: a labelled table (doc_id, domain) gives the domains.  Features are white-space tokens that go with a domain in the learning
+Classifier: a labelled table (doc_id, domain) gives the domains.  Features are white-space tokens, and shapes of tokens, that go with a domain in the learning
 sample (log-likelihood ratio at least `ratio`).  A text's posterior is naive Bayes over the features it has; a text without any has
 the shares of the domains among such documents of the sample.
 
@@ -26,14 +26,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import TokenRows, held, learn_rows, materialize, spread, sums_by_row, text_chunks
 
+_CAPITAL, _SMALL = regex.compile(r"\p{Lu}+"), regex.compile(r"\p{Ll}+")
 #: Target shares of tokens.
-TARGETS = {"clean": 0.96, "junk": 0.02, "toxic": 0.02}
-MOST, PULL, ROUNDS, CLOSE = 8.0, 1e-4, 60, 1e-4
+TARGETS = {"clean": 0.92, "junk": 0.04, "toxic": 0.04}
+MOST, PULL, ROUNDS, CLOSE = 8.0, 1e-3, 30, 1e-3
 
 
 def domains_of_labels(labels: DataFrame) -> DataFrame:
@@ -42,11 +44,20 @@ def domains_of_labels(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain"))
 
 
+class _Shapes(dict):
+    """Token -> its shape as a feature: runs of capital letters become A, runs of small ones a."""
+
+    def __missing__(self, token: str) -> str:
+        self[token] = made = "\x01" + _SMALL.sub("a", _CAPITAL.sub("A", token))
+        return made
+
+
 class Classifier:
     """Posteriors of domains; weights are logs of how much likelier a feature is under each domain."""
 
     def __init__(self, domains: list[str], prior: np.ndarray, bare: np.ndarray, features: dict[str, np.ndarray]):
         self.domains, self.prior, self.bare, self.features = domains, np.log(prior), bare, features
+        self.shapes = _Shapes()
         width = len(domains)
         nothing = np.zeros(width + 1)
         self.tokens = TokenRows(width + 1, lambda new: np.array([np.append(f, 1.0) if (f := features.get(t)) is not None else nothing for t in new]))
@@ -54,10 +65,14 @@ class Classifier:
     def posteriors(self, texts: list[str | None]) -> tuple[list[int], np.ndarray]:
         """Tokens of each text, and its posterior [texts, domains].  A feature counts once in a text."""
         sizes, distinct, counts = [], [], []
+        if len(self.shapes) > 400_000:
+            self.shapes.clear()
+        shape = self.shapes.__getitem__
         for t in texts:
             words = t.split() if t else []
             sizes.append(len(words))
             once = set(words)
+            once |= set(map(shape, once))
             distinct += once
             counts.append(len(once))
         sums = np.round(sums_by_row(self.tokens.lookup(distinct), counts), 9)
@@ -68,7 +83,7 @@ class Classifier:
         return sizes, np.round(p, 9)
 
 
-def learn(docs: DataFrame, labelled: DataFrame, sample_docs: int = 16_000, features: int = 20_000, ratio: float = 24.0) -> tuple | None:
+def learn(docs: DataFrame, labelled: DataFrame, sample_docs: int = 16_000, features: int = 20_000, ratio: float = 18.0) -> tuple | None:
     """Arguments of a Classifier from a bounded sample of labelled (doc_id, domain); None without any."""
     known = labelled.where("doc_id is not null and domain is not null").where(learn_rows(F.col("doc_id"))).distinct()
     n = known.count()
@@ -76,8 +91,14 @@ def learn(docs: DataFrame, labelled: DataFrame, sample_docs: int = 16_000, featu
         return None
     picked = known.where(spread(F.col("doc_id"), F.lit("domain")) < sample_docs / n).limit(2 * sample_docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    tokens = F.array_distinct(F.filter(F.split("text", "\\s+"), lambda x: x != ""))
-    sample = materialize(rows.select("doc_id", "domain", F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens")), "domain-sample")
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes = _Shapes()
+        for part, texts in text_chunks(batches):
+            once = [set(t.split()) if t else set() for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column("domain"), pa.array([sorted(x | set(map(shapes.__getitem__, x))) for x in once], pa.list_(pa.string()))], ["domain", "tokens"])
+
+    sample = materialize(rows.mapInArrow(cut, "domain string, tokens array<string>"), "domain-sample")
     size = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     domains, all_ = sorted(size), float(sum(size.values()))
     if not all_:
