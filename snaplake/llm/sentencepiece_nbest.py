@@ -1,7 +1,7 @@
 """SentencePiece encoding with N-best segmentations, and decoding.
 
-One space is put before a text, as SentencePiece does; then the text is cut before every space and around every line
-feed into units, and a space is the mark at the head of its unit.  Within a unit, pieces of a fixed public vocabulary form a lattice;
+One space is put before a text, as SentencePiece does; then the text is cut into units: runs of letters and runs of other
+characters, each with the space before it, if any, as its mark, and line feeds and further spaces alone.  Within a unit, pieces of a fixed public vocabulary form a lattice;
 a character that no piece covers is spelled in byte pieces, and so is a literal space mark, so decoding gives back every
 text exactly.  A piece's score is the log of a Zipf probability of its merge rank in the model file.
 
@@ -33,7 +33,7 @@ from .vocabulary import MODEL, SPACE, TOKENIZERS
 BYTE_SCORE, RANK_SHIFT = -16.0, 10.0
 
 
-_UNITS = re.compile(r" [^ \n]*|\n|[^ \n]+")
+_UNITS = re.compile(r" ?[^\W\d_]+| ?(?:[^\w \n]|[\d_])+|\n| ")
 
 
 class _Cache(dict):
@@ -51,7 +51,7 @@ class _Cache(dict):
 class NBest:
     """Encoder and decoder over one model file; n segmentations for each unit.  A unit's space mark is held as a plain space."""
 
-    def __init__(self, n: int = 4, path: str | None = None, limit: int = 600_000):
+    def __init__(self, n: int = 4, path: str | None = None, limit: int = 1_200_000):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path or f"{TOKENIZERS}/{MODEL}")
