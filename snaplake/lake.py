@@ -138,7 +138,6 @@ class Lake:
         session = self.spark.newSession()
         for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.autoBroadcastJoinThreshold"):
             session.conf.set(key, self.spark.conf.get(key))
-        session.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
         register(session)
         spark_sql = dialect.to_spark(body)
         intervals = dialect.where_intervals(body) if prune and collation != "nocase" else None
