@@ -50,7 +50,13 @@ def write_files(df: DataFrame, folder: TableFolder, sort: list[str]) -> list[Res
     path = folder.fresh("data")
     keys = [c for c in [ROW_TIME, *sort] if c in df.columns]
     out = df.sortWithinPartitions(*keys) if keys else df
-    out.write.option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS).parquet(path)
+    conf, kind = df.sparkSession.conf, "spark.sql.parquet.outputTimestampType"
+    before = conf.get(kind)
+    conf.set(kind, "TIMESTAMP_MICROS")  # the older kind has no bounds in footers
+    try:
+        out.write.option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS).parquet(path)
+    finally:
+        conf.set(kind, before)
     files = [(p, n) for p, n, d in folder.store.list(path) if not d and p.endswith(".parquet")]
     schema = json.dumps(json.loads(df.schema.json()))
     rows = footers(df.sparkSession, [p for p, _ in files])

@@ -66,7 +66,7 @@ def footer_rows(path: str) -> list[dict]:
             if s is not None:
                 row["logical_type"] = str(s.logical_type.type)
                 row["null_count"] = s.null_count if s.has_null_count else None
-                if s.has_min_max and (low := lane(s.min)) and (high := lane(s.max)):
+                if s.has_min_max and col.physical_type != "INT96" and (low := lane(s.min)) and (high := lane(s.max)):
                     row[f"min_{low[0]}"], row[f"max_{high[0]}"] = low[1], high[1]
                     row |= {"stats_available": True, "min_is_exact": True, "max_is_exact": True}
             out.append(row)

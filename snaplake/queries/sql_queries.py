@@ -44,7 +44,7 @@ SQL = {
     "a_basic": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(avg(l_extendedprice), 4) AS avg_price, min(l_discount) AS low, max(l_tax) AS high FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus",
     "a_count_distinct": "SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers, CAST(sum(DISTINCT o_custkey) AS BIGINT) AS key_sum FROM orders GROUP BY o_orderpriority",
     "a_having": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12",
-    "a_group_expression": "SELECT extract(year FROM o_orderdate) AS y, count(*) AS n FROM orders GROUP BY extract(year FROM o_orderdate)",
+    "a_group_expression": "SELECT CAST(extract(year FROM o_orderdate) AS BIGINT) AS y, count(*) AS n FROM orders GROUP BY extract(year FROM o_orderdate)",
     "a_filter_clause": "SELECT l_linestatus, count(*) FILTER (WHERE l_discount > 0.05) AS discounted, round(sum(l_quantity) FILTER (WHERE l_tax = 0), 2) AS untaxed FROM lineitem GROUP BY l_linestatus",
     "a_stddev_var": "SELECT event_type, round(stddev(value), 6) AS sd, round(variance(value), 4) AS var FROM events GROUP BY event_type",
     "a_percentile_cont": "SELECT event_type, round(percentile_cont(0.25) WITHIN GROUP (ORDER BY value), 6) AS p25, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 6) AS p50, round(percentile_cont(0.75) WITHIN GROUP (ORDER BY value), 6) AS p75 FROM events GROUP BY event_type",
@@ -59,10 +59,10 @@ SQL = {
     "a_max_by": "SELECT c_nationkey, arg_max(c_custkey, c_acctbal) AS richest FROM customer GROUP BY c_nationkey",
     "a_fact_rollup": "SELECT COALESCE(a.k, b.k) AS part_key, COALESCE(a.sold, 0) AS sold, COALESCE(b.late, 0) AS late, CASE WHEN COALESCE(a.sold, 0) > 0 THEN round(COALESCE(b.late, 0) / a.sold, 6) ELSE 0 END AS late_rate FROM (SELECT l_partkey AS k, sum(l_quantity) AS sold FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_partkey) a FULL OUTER JOIN (SELECT l_partkey AS k, sum(l_quantity) AS late FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey) b ON a.k = b.k",
     # windows
-    "wn_row_number": "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders",
-    "wn_rank_dense": "SELECT n_nationkey, rank() OVER (ORDER BY n_regionkey) AS r, dense_rank() OVER (ORDER BY n_regionkey DESC) AS d FROM nation",
+    "wn_row_number": "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS rn FROM orders",
+    "wn_rank_dense": "SELECT n_nationkey, CAST(rank() OVER (ORDER BY n_regionkey) AS BIGINT) AS r, CAST(dense_rank() OVER (ORDER BY n_regionkey DESC) AS BIGINT) AS d FROM nation",
     "wn_percent_rank": "SELECT s_suppkey, round(percent_rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal), 6) AS pr FROM supplier",
-    "wn_ntile": "SELECT event_type, event_id, ntile(10) OVER (PARTITION BY event_type ORDER BY value, event_id) AS bucket FROM events",
+    "wn_ntile": "SELECT event_type, event_id, CAST(ntile(10) OVER (PARTITION BY event_type ORDER BY value, event_id) AS BIGINT) AS bucket FROM events",
     "wn_lag_lead": "SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, lead(value, 1) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events",
     "wn_first_value": "SELECT o_orderkey, first_value(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS first_price FROM orders",
     "wn_running_sum": "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running FROM orders",
@@ -82,11 +82,11 @@ SQL = {
     "s_recursive_cte": "WITH RECURSIVE up(n) AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM up WHERE n < 20) SELECT n, n * n AS square FROM up",
     "s_derived_table": "SELECT d.status, d.n FROM (SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY o_orderstatus) AS d WHERE d.n > 10",
     # scalar functions
-    "f_string": "SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, length(c_name) AS len, trim('  ' || c_mktsegment || ' ') AS t, concat(c_name, NULL, '!') AS c, substr(c_name, 3, 4) AS s, replace(c_name, '0', 'o') AS r FROM customer",
-    "f_math": "SELECT l_orderkey, l_linenumber, abs(l_discount - 0.05) AS a, round(sqrt(l_quantity), 6) AS s, round(power(l_quantity, 2), 4) AS p, round(log(l_quantity), 6) AS lg, round(log2(l_quantity), 6) AS l2, greatest(l_discount, l_tax) AS g, least(l_discount, l_tax) AS m, l_linenumber // 2 AS half FROM lineitem WHERE l_orderkey < 5000",
-    "f_date": "SELECT o_orderkey, date_trunc('month', o_orderdate) AS month, extract(year FROM o_orderdate) AS y, date_part('quarter', o_orderdate) AS q, extract(dow FROM o_orderdate) AS dow, strftime(o_orderdate, '%Y-%m-%d') AS d, o_orderdate + INTERVAL '7 days' AS week FROM orders WHERE o_orderkey < 5000",
+    "f_string": "SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, CAST(length(c_name) AS BIGINT) AS len, trim('  ' || c_mktsegment || ' ') AS t, concat(c_name, NULL, '!') AS c, substr(c_name, 3, 4) AS s, replace(c_name, '0', 'o') AS r FROM customer",
+    "f_math": "SELECT l_orderkey, l_linenumber, abs(l_discount - 0.05) AS a, round(sqrt(l_quantity), 6) AS s, round(power(l_quantity, 2), 4) AS p, round(log(l_quantity), 6) AS lg, round(log2(l_quantity), 6) AS l2, greatest(l_discount, l_tax) AS g, least(l_discount, l_tax) AS m, CAST(l_linenumber // 2 AS BIGINT) AS half FROM lineitem WHERE l_orderkey < 5000",
+    "f_date": "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(extract(year FROM o_orderdate) AS BIGINT) AS y, CAST(date_part('quarter', o_orderdate) AS BIGINT) AS q, CAST(extract(dow FROM o_orderdate) AS BIGINT) AS dow, strftime(o_orderdate, '%Y-%m-%d') AS d, o_orderdate + INTERVAL '7 days' AS week FROM orders WHERE o_orderkey < 5000",
     "f_epoch": "SELECT event_id, round(epoch(ts), 3) AS seconds FROM events",
-    "f_cast_try_cast": "SELECT o_orderkey, o_totalprice::BIGINT AS whole, CAST(o_totalprice AS DECIMAL(18, 2)) AS exact, TRY_CAST(o_orderstatus AS INTEGER) AS nothing, o_orderkey::VARCHAR AS s FROM orders",
+    "f_cast_try_cast": "SELECT o_orderkey, floor(o_totalprice)::BIGINT AS whole, CAST(o_totalprice AS DECIMAL(18, 2)) AS exact, TRY_CAST(o_orderstatus AS INTEGER) AS nothing, o_orderkey::VARCHAR AS s FROM orders",
     "f_regexp": "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '0+[1-3]$')",
     # pruning: equal answers with fewer files
     "o_prune_range": "SELECT count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem WHERE l_orderkey >= 100 AND l_orderkey < 900",
