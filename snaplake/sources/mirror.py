@@ -1,7 +1,7 @@
 """Mirrors of a table's live rows in open formats, made after a commit.
 
-Deleted rows and system columns are never published.  Formats: "parquet" (the files alone) and "delta" (files and a transaction log;
-each mirrored version removes the files of the one before).
+Deleted rows and system columns are never published.  Formats: "parquet" (the files alone), "delta" (files and a transaction log;
+each mirrored version removes the files of the one before) and "iceberg" (see iceberg.py).
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .catalog import TableFolder
+from .iceberg import mirror_iceberg
 from .scan import live
 
-FORMATS = ("parquet", "delta")
+FORMATS = ("parquet", "delta", "iceberg")
 ENGINE = "snaplake"
 
 
@@ -35,7 +36,7 @@ def configure(folder: TableFolder, formats: list[str]) -> list[str]:
 
 def mirror(folder: TableFolder, base: str) -> dict[str, str]:
     """Brings all configured mirrors below base up to the current version."""
-    made = {"parquet": _parquet, "delta": _delta}
+    made = {"parquet": _parquet, "delta": _delta, "iceberg": mirror_iceberg}
     return {f: made[f](folder, f"{base}/{f}/{folder.name}") for f in configured(folder)}
 
 

@@ -54,6 +54,24 @@ class Store:
             fs.delete(tmp, False)
             raise FileExistsError(path)
 
+    def read_bytes(self, path: str) -> bytes:
+        fs, p = self._at(path)
+        stream = fs.open(p)
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
+    def write_bytes(self, path: str, body: bytes) -> None:
+        """A new file; its name is made up by the caller, so no one reads it before it is named elsewhere."""
+        fs, p = self._at(path)
+        fs.mkdirs(p.getParent())
+        out = fs.create(p, False)
+        try:
+            out.write(bytearray(body))
+        finally:
+            out.close()
+
     def write_json(self, path: str, value: Any, overwrite: bool = False) -> None:
         self.write_text(path, json.dumps(value, indent=1, default=str), overwrite)
 

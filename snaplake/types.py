@@ -13,10 +13,21 @@ _INTS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FLOATS = (T.FloatType, T.DoubleType)
 
 
+def nullable(t: T.DataType) -> T.DataType:
+    """The type with nulls allowed in all of its parts."""
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(nullable(t.elementType), True)
+    if isinstance(t, T.MapType):
+        return T.MapType(nullable(t.keyType), nullable(t.valueType), True)
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(f.name, nullable(f.dataType), True) for f in t.fields])
+    return t
+
+
 def widen(a: T.DataType, b: T.DataType) -> T.DataType:
     """The type that holds values of both: strings win, then times, dates, floats, integers; anything else becomes a string."""
-    if a == b:
-        return a
+    if a.simpleString() == b.simpleString():
+        return nullable(a)
     pair = (a, b)
 
     def has(*kinds: type) -> bool:
@@ -48,7 +59,7 @@ def union_schema(schemas: Iterable[T.StructType]) -> T.StructType:
     for schema in schemas:
         for f in schema.fields:
             old = found.get(f.name.lower())
-            found[f.name.lower()] = T.StructField(old.name, widen(old.dataType, f.dataType), True) if old else T.StructField(f.name, f.dataType, True)
+            found[f.name.lower()] = T.StructField(old.name, widen(old.dataType, f.dataType), True) if old else T.StructField(f.name, nullable(f.dataType), True)
     return T.StructType(list(found.values()))
 
 
@@ -61,7 +72,7 @@ def align(df: DataFrame, schema: T.StructType) -> DataFrame:
         if old is None:
             return F.lit(None).cast(f.dataType).alias(f.name)
         c = F.col(f"`{old.name}`")
-        return (c if old.dataType == f.dataType else c.try_cast(f.dataType)).alias(f.name)
+        return (c if old.dataType.simpleString() == f.dataType.simpleString() else c.try_cast(f.dataType)).alias(f.name)
 
     return df.select(*map(column, schema.fields))
 

@@ -312,6 +312,27 @@ def test_mirrors(spark, lake, tmp_path):
         mirror.configure(t.folder, ["other"])
 
 
+def test_iceberg_mirror(spark, lake, tmp_path):
+    from snaplake.sources.avro import read_container
+
+    t = lake.table("t")
+    t.append(spark.sql("SELECT 1L AS id, 'a' AS v, array(1, 2) AS l, named_struct('x', 1.5D) AS s, CAST(1 AS DECIMAL(9, 2)) AS d"))
+    mirror.configure(t.folder, ["iceberg"])
+    store, path = t.folder.store, mirror.mirror(t.folder, f"file://{tmp_path}/mirror")["iceberg"]
+    t.append(spark.sql("SELECT 'b' AS v, 2L AS id, true AS extra"))
+    mirror.mirror(t.folder, f"file://{tmp_path}/mirror")
+    mirror.mirror(t.folder, f"file://{tmp_path}/mirror")
+    assert store.read_text(f"{path}/metadata/version-hint.text") == "2"
+    one, two = (store.read_json(f"{path}/metadata/v{k}.metadata.json") for k in (1, 2))
+    ids = [{f["name"]: f["id"] for f in d["schemas"][0]["fields"]} for d in (one, two)]
+    assert ids[0]["v"] == ids[1]["v"] and ids[1]["extra"] > max(ids[0].values())
+    _, lists = read_container(store.read_bytes(two["snapshots"][-1]["manifest-list"]))
+    meta, entries = read_container(store.read_bytes(lists[0]["manifest_path"]))
+    assert meta["format-version"] == b"2" and lists[0]["added_rows_count"] == 2
+    files = [e["data_file"]["file_path"] for e in entries]
+    assert spark.read.schema("id long").parquet(*files).count() == 2 == sum(e["data_file"]["record_count"] for e in entries)
+
+
 def test_loaders(spark, tmp_path):
     df = frame(spark, [(1, "a")])
     df.write.json(f"{tmp_path}/x.jsonl")
