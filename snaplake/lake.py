@@ -189,6 +189,24 @@ class Lake:
 
     # --- metadata ------------------------------------------------------------------------------------------------
 
+    def diagnostics(self) -> DataFrame:
+        """check, status (ok or fail), detail: the store can be written, the session computes, the default database can be read."""
+
+        def trial(f) -> tuple[str, str]:
+            try:
+                return "ok", str(f())
+            except Exception as e:  # noqa: BLE001  the outcome is the report
+                return "fail", f"{type(e).__name__}: {str(e)[:300]}"
+
+        def written() -> str:
+            at = f"{self.path}/_probe/{time.time_ns()}"
+            self.store.write_text(at, "x")
+            self.store.delete(at)
+            return self.path
+
+        checks = {"store": written, "session": lambda: self.spark.range(1000).agg(F.sum("id")).first()[0], "catalog": lambda: len(self.database().tables()), "task slots": lambda: self.spark.sparkContext.defaultParallelism}
+        return self.spark.createDataFrame([(name, *trial(f)) for name, f in checks.items()], "check string, status string, detail string")
+
     def tables_frame(self, database: str | None = None) -> DataFrame:
         """One row for each table: version, files, live rows, bytes; no data file is opened."""
         db = self.database(database)

@@ -53,3 +53,28 @@ class Monitor:
         for p in gone:
             self.store.delete(p)
         return gone
+
+#: Columns of each kind's sink table; other values of an event stay in the day's files.
+SINKS = {
+    "plans": "query_id string, recorded_at string, role_name string, sql string, engine string, planning_seconds double",
+    "writes": "query_id string, recorded_at string, table_name string, role_name string, overwrite_columns array<string>, newer_than string, delete_only boolean, total_columns long, inserted long, deleted long, duration double",
+    "compact": "query_id string, recorded_at string, table_name string, role_name string, version long, files_before long, files_after long, deleted_rows_dropped long",
+}
+
+
+def drain(lake, kind: str) -> int:
+    """Moves what was recorded since the last drain into the table `__kind__`; a checkpoint and batch numbers in the table's log make it exactly once."""
+    lake.monitor.flush()
+    table = lake.table(f"__{kind}__")
+
+    def put(batch: DataFrame, number: int) -> None:
+        done = [s.lineage.get("batch", -1) for s in table.folder.history()] if table.folder.exists() else []
+        if number > max(done, default=-1) and not batch.isEmpty():
+            table.append(batch, lineage={"operation": "drain", "batch": number})
+
+    if not lake.store.exists(f"{lake.path}/_metrics/{kind}"):
+        return 0
+    before = table.read().count() if table.folder.exists() else 0
+    rows = lake.spark.readStream.schema(SINKS[kind]).option("recursiveFileLookup", "true").json(f"{lake.path}/_metrics/{kind}")
+    rows.writeStream.foreachBatch(put).option("checkpointLocation", f"{lake.path}/_checkpoints/metrics-{kind}").trigger(availableNow=True).start().awaitTermination()
+    return (table.read().count() if table.folder.exists() else 0) - before

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -29,3 +30,16 @@ def store_path(path: str) -> str:
         if path.startswith(scheme):
             return "s3a://" + path.removeprefix(scheme)
     return path
+
+
+_UNITS = {"s": F.timestamp_seconds, "ms": F.timestamp_millis, "us": F.timestamp_micros}
+
+
+def times_from_numbers(df: DataFrame, units: dict[str, str]) -> DataFrame:
+    """Columns that foreign files hold as whole numbers of s, ms, us or ns since 1970, as timestamps."""
+    for name, unit in units.items():
+        c = F.col(f"`{name}`")
+        if unit != "ns" and unit not in _UNITS:
+            raise ValueError(f"unit {unit!r} isn't known")
+        df = df.withColumn(name, F.timestamp_micros(F.floor(c / 1000).cast("long")) if unit == "ns" else _UNITS[unit](c))
+    return df

@@ -341,3 +341,24 @@ def test_loaders(spark, tmp_path):
     with pytest.raises(ValueError):
         load(spark, "x.doc")
     assert store_path("s3://b/k") == "s3a://b/k"
+
+
+def test_metrics_are_drained_once(spark, lake):
+    from snaplake.operators.monitor import drain
+
+    lake.table("t").append(spark.range(3))
+    assert drain(lake, "writes") == 1
+    assert drain(lake, "writes") == 0
+    lake.table("t").append(spark.range(2))
+    assert drain(lake, "writes") == 1
+    assert sorted(r["inserted"] for r in lake.table("__writes__").read().collect()) == [2, 3]
+    assert drain(lake, "compact") == 0
+
+
+def test_diagnostics_and_times(spark, lake):
+    from snaplake.sources.files import times_from_numbers
+
+    assert {r["status"] for r in lake.diagnostics().collect()} == {"ok"}
+    df = spark.createDataFrame([(1, 1000, 1000000, 1000000000)], "a long, b long, c long, d long")
+    row = times_from_numbers(df, {"a": "s", "b": "ms", "c": "us", "d": "ns"}).selectExpr("a = b AND b = c AND c = d AS same").first()
+    assert row["same"]
