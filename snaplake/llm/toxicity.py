@@ -1,8 +1,8 @@
 """Toxicity: distance-weighted votes of the nearest labelled examples, found by exact TF-IDF cosine over a block-max inverted index.
 
 Terms are runs of letters and digits, lower-cased.  The features are terms that go with the label in the learning sample:
-those whose log-likelihood ratio (in documents; fit for rare terms too) is at least `ratio`, toxic documents
-being more than expected, the `terms` strongest of them.
+those whose log-likelihood ratio (in documents; fit for rare terms too) is at least `ratio` and whose documents are
+toxic `lift` times as often as all are, the `terms` strongest of them.
 An example's vector has (1 + ln count) * ln(1 + documents / documents with the term), at length 1.
 
 Index: examples lie in blocks of BLOCK, alike ones together; for each term it has the blocks where it occurs, its largest
@@ -64,16 +64,19 @@ class BlockMaxIndex:
         for t, q in query.items():
             bound[self.blocks[t]] += q * self.most[t]
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
+        order = np.argsort(-bound, kind="stable")
+        for b in order[: int((bound > 0).sum())].tolist():
+            least = -best[-1][0] if len(best) == k else 0.0
+            if bound[b] < least - 1e-12:
                 break
             score = np.zeros(BLOCK)
             for t, q in query.items():
                 if (hit := self.lists[t].get(b)) is not None:
                     score[hit[0]] += q * hit[1]
-            places = np.flatnonzero(score > 0)
-            found = [(-round(float(score[p]), 12), int(self.example[b * BLOCK + p])) for p in places.tolist()]
-            best = sorted([*best, *(x for x in found if x[1] != skip)])[:k]
+            places = np.flatnonzero((score > 0) & (score >= least - 1e-9))
+            if len(places):
+                found = zip((-np.round(score[places], 12)).tolist(), self.example[b * BLOCK + places].tolist(), strict=True)
+                best = sorted([*best, *(x for x in found if x[1] != skip)])[:k]
         return [(-s, i) for s, i in best]
 
 
@@ -102,7 +105,7 @@ def isotonic(x: list[float], y: list[int]) -> tuple[list[float], list[float]]:
 class Voter:
     """The labelled examples with their index and calibration."""
 
-    def __init__(self, terms: list[str], idf: list[float], examples: list[tuple[int, int, dict[int, int]]], bare: tuple[int, int]):
+    def __init__(self, terms: list[str], idf: list[float], examples: list[tuple[int, int, dict[int, int]]], bare: tuple[int, int], knots: tuple | None = None):
         self.terms, self.idf = terms, idf
         self.number = {t: i for i, t in enumerate(terms)}
         self.ids, self.labels = [e[0] for e in examples], [e[1] for e in examples]
@@ -110,8 +113,10 @@ class Voter:
         self.index = BlockMaxIndex(vectors, len(terms))
         #: Score of texts without any feature: share of toxic among (toxic, all) such examples.
         self.bare = (bare[0] + 0.5 * (bare[1] == 0)) / max(1, bare[1])
-        loo = [(vote(near, self.labels), self.labels[i]) for i, v in enumerate(vectors) if (near := self.index.top(v, NEAREST, i))]
-        self.knots = isotonic([a for a, _ in loo], [b for _, b in loo])
+        if knots is None:  # the driver fits the curve and sends it along
+            loo = [(vote(near, self.labels), self.labels[i]) for i, v in enumerate(vectors) if (near := self.index.top(v, NEAREST, i))]
+            knots = isotonic([a for a, _ in loo], [b for _, b in loo])
+        self.knots = knots
         self.tokens: dict[str, tuple[int, ...]] = {}
         self.known: dict[tuple, tuple] = {}
 
@@ -157,7 +162,7 @@ def first_of_alike(prints: np.ndarray, sizes: np.ndarray, bits: int = 12, least:
     return kept
 
 
-def learn(docs: DataFrame, labels: DataFrame, examples: int = 16_000, terms: int = 2000, ratio: float = 24.0) -> tuple | None:
+def learn(docs: DataFrame, labels: DataFrame, examples: int = 16_000, terms: int = 2000, ratio: float = 24.0, lift: float = 3.0) -> tuple | None:
     """Arguments of a Voter from labels (doc_id, toxic) and their texts; None without any."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").where(learn_rows(F.col("doc_id"))).distinct()
     n = known.count()
@@ -190,7 +195,7 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = 16_000, terms: int
 
     b_, rest = m - a, big - m
     strength = 2 * (part(a, m * bad / big) + part(b_, m * (big - bad) / big) + part(bad - a, rest * bad / big) + part(big - bad - b_, rest * (big - bad) / big))
-    chosen = each.withColumn("strength", strength).where((F.col("strength") >= ratio) & (a * big > m * bad)).orderBy(F.desc("strength"), "term").limit(terms).collect()
+    chosen = each.withColumn("strength", strength).where((F.col("strength") >= ratio) & (a * big > lift * m * bad)).orderBy(F.desc("strength"), "term").limit(terms).collect()
     names = [r["term"] for r in chosen]
     idf = [math.log(1 + all_ / r["df"]) for r in chosen]
     number = {t: i for i, t in enumerate(names)}
@@ -201,7 +206,8 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = 16_000, terms: int
             vectors.append((r["doc_id"], r["label"], {number[x["terms"]]: x["counts"] for x in r["found"]}))
         else:
             bare = [bare[0] + r["label"], bare[1] + 1]
-    return names, idf, vectors, tuple(bare)
+    model = (names, idf, vectors, tuple(bare))
+    return (*model, Voter(*model).knots)
 
 
 _NEAR = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
