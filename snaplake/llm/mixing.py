@@ -1,7 +1,7 @@
 """Mixing to target weights with soft memberships.
 
 Classifier: a labelled table (doc_id, domain) gives the domains.  Features are white-space tokens, and shapes of tokens, that go with a domain in the learning
-sample (log-likelihood ratio at least `ratio`).  A text's posterior is naive Bayes over the features it has; a text without any has
+sample (log-likelihood ratio at least `ratio`, and `lift` times as often in its documents as in all).  A text's posterior is naive Bayes over the features it has; a text without any has
 the shares of the domains among such documents of the sample.
 
 Rates: with n tokens and posterior p for each document, nonnegative rates r <= MOST are fitted so that the expected tokens of each domain, the
@@ -23,6 +23,8 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import TokenRows, held, learn_rows, materialize, spread, sums_by_row, text_chunks
+from .simhash import fingerprint
+from .toxicity import first_of_alike
 
 _CAPITAL, _SMALL = regex.compile(r"\p{Lu}+"), regex.compile(r"\p{Ll}+")
 #: Target shares of tokens.
@@ -83,7 +87,7 @@ class Classifier:
         return sizes, np.round(p, 9)
 
 
-def learn(docs: DataFrame, labelled: DataFrame, sample_docs: int = 16_000, features: int = 20_000, ratio: float = 18.0) -> tuple | None:
+def learn(docs: DataFrame, labelled: DataFrame, sample_docs: int = 16_000, features: int = 20_000, ratio: float = 18.0, lift: float = 3.0) -> tuple | None:
     """Arguments of a Classifier from a bounded sample of labelled (doc_id, domain); None without any."""
     known = labelled.where("doc_id is not null and domain is not null").where(learn_rows(F.col("doc_id"))).distinct()
     n = known.count()
@@ -96,9 +100,15 @@ def learn(docs: DataFrame, labelled: DataFrame, sample_docs: int = 16_000, featu
         shapes = _Shapes()
         for part, texts in text_chunks(batches):
             once = [set(t.split()) if t else set() for t in texts]
-            yield pa.RecordBatch.from_arrays([part.column("domain"), pa.array([sorted(x | set(map(shapes.__getitem__, x))) for x in once], pa.list_(pa.string()))], ["domain", "tokens"])
-
-    sample = materialize(rows.mapInArrow(cut, "domain string, tokens array<string>"), "domain-sample")
+            prints = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("domain"), pa.array(prints), pa.array([sorted(x | set(map(shapes.__getitem__, x))) for x in once], pa.list_(pa.string()))], ["doc_id", "domain", "fp", "tokens"])
+
+    sample = materialize(rows.mapInArrow(cut, "doc_id long, domain string, fp long, tokens array<string>"), "domain-sample")
+    # of near copies one is used, else the words of a document that is there often would stand for its domain
+    seen = sample.select("doc_id", "fp", F.size("tokens").alias("n")).orderBy("doc_id").collect()
+    alone = first_of_alike(np.array([r["fp"] for r in seen], np.int64).view(np.uint64), np.array([r["n"] for r in seen]))
+    ids = docs.sparkSession.createDataFrame([(seen[i]["doc_id"],) for i in alone], "doc_id long").distinct()
+    sample = sample.join(F.broadcast(ids), "doc_id", "left_semi")
     size = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     domains, all_ = sorted(size), float(sum(size.values()))
     if not all_:
@@ -110,7 +120,9 @@ def learn(docs: DataFrame, labelled: DataFrame, sample_docs: int = 16_000, featu
         return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
 
     strength = sum((2 * (part(F.col(f"n{k}"), df * size[d] / all_) + part(size[d] - F.col(f"n{k}"), (all_ - df) * size[d] / all_)) for k, d in enumerate(domains)), F.lit(0.0))
-    chosen = each.withColumn("g", strength).where(F.col("g") >= ratio).orderBy(F.desc("g"), "token").limit(features).collect()
+    # words that are a little commoner in longer documents would add up; a feature must stand out for a domain
+    stands_out = reduce(or_, [F.col(f"n{k}") * all_ >= lift * df * size[d] for k, d in enumerate(domains)])
+    chosen = each.withColumn("g", strength).where((F.col("g") >= ratio) & stands_out).orderBy(F.desc("g"), "token").limit(features).collect()
     share = np.array([size[d] for d in domains]) / all_
     weights = {}
     for r in chosen:
