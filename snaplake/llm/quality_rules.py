@@ -7,7 +7,8 @@ Outliers: of the rows that pass the base rules, each gives a vector of FEATURES
 a value of its own) a minimum-covariance-determinant estimate is found: it starts at medians and median deviations, takes
 the SHARE of rows with the least distances, and repeats with their mean and covariance (C-steps).  The covariance gets the factor that
 makes it consistent for normal data, and FLOOR squared is added to its diagonal, so statistics that are almost
-always zero don't make it singular.  A row is rejected beyond the chi-square quantile TAIL.  Groups of fewer than LEAST rows reject nothing.
+always zero don't make it singular.  A row is rejected beyond the chi-square quantile TAIL.  Rows of groups with fewer than LEAST such rows
+are judged by a pooled estimate found in the same way: their language's, or that of all rows if the language has too few as well.
 
 Scale: texts are read once and give a narrow table; each step aggregates it to one row per group.  Order statistics come from counts of
 fixed bins, which add up in any order, so no group is ever gathered in one task.
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import WORD_SEPARATORS, materialize
 
 SHARE, STEPS, TAIL, LEAST, BINS = 0.75, 3, 1 - 1e-7, 30, 64
+#: The pool of all rows.
+ALL = "a"
 FLOOR = {"x1": 0.25, "x2": 0.05, "x3": 0.1, "x4": 0.35, "x5": 0.15}
 FEATURES = list(FLOOR)
 _N = range(len(FEATURES))
@@ -153,8 +156,8 @@ def _distance(rows: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def _estimates(rows: DataFrame) -> DataFrame:
-    """Parameters (g, m*, l_*_*) of each group of rows (g, x1..) that has at least LEAST of them."""
-    large = rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).select("g")
+    """Parameters (g, m*, l_*_*) of each group of rows (g, x1..) that has at least LEAST of them, and of ALL at any size."""
+    large = rows.groupBy("g").agg(F.count("*").alias("n")).where((F.col("n") >= LEAST) | (F.col("g") == ALL)).select("g")
     rows = rows.join(large, "g", "left_semi")
     centre = materialize(_wide(_quantiles(_long(rows, [F.col(x) for x in FEATURES]), ["g", "f"], F.col("v"), 0.5, "m"), "m"), "centre")
     off = rows.join(centre, "g")
@@ -186,12 +189,18 @@ def _estimates(rows: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """doc_id, the base statistics, base_failed, distance (squared; null where the method gives none) and kept of each row of docs."""
+    """doc_id, the base statistics, base_failed, distance and pooled_distance (squared) and kept of each row of docs.
+
+    distance is null where the group is too small for an estimate; pooled_distance is given there instead.
+    """
     name = lambda c: F.coalesce(F.concat(F.lit("v"), F.col(c)), F.lit("n"))
     rows = base_statistics(docs)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    rows = materialize(rows.select("doc_id", F.concat(name("lang"), F.lit("\t"), name("source")).alias("g"), *STATISTICS, failed.alias("base_failed")), "statistics")
+    group, pool = F.concat(F.lit("g"), name("lang"), F.lit("\t"), name("source")), F.concat(F.lit("l"), name("lang"))
+    rows = materialize(rows.select("doc_id", group.alias("g"), pool.alias("pool"), *STATISTICS, failed.alias("base_failed")), "statistics")
     vectors = rows.select("*", *_transformed())
-    params = _estimates(vectors.where(~F.col("base_failed")).select("g", *FEATURES))
-    judged = _distance(vectors, params)
-    return judged.select("doc_id", *STATISTICS, "base_failed", F.col("d2").alias("distance"), (~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))).alias("kept"))
+    params = _estimates(vectors.where(~F.col("base_failed")).select(F.explode(F.array("g", "pool", F.lit(ALL))).alias("g"), *FEATURES))
+    own = _distance(vectors, params).withColumnRenamed("d2", "distance").join(params.select(F.col("g").alias("pool"), F.lit(True).alias("large")), "pool", "left")
+    pooled = _distance(own.withColumn("g", F.when(F.col("distance").isNull(), F.when(F.col("large"), F.col("pool")).otherwise(ALL))), params)
+    near = F.coalesce("distance", "d2") <= CUTOFF
+    return pooled.select("doc_id", *STATISTICS, "base_failed", "distance", F.col("d2").alias("pooled_distance"), (~F.col("base_failed") & F.coalesce(near, F.lit(True))).alias("kept"))

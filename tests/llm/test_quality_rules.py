@@ -65,6 +65,19 @@ def test_outliers_equal_numpy(spark, documents):
     assert R.quality_rules(documents([])).count() == 0
 
 
+def test_small_groups_are_judged_by_a_pool(spark, documents):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
+    text = lambda end="": " ".join(word() + end for _ in range(rng.randint(40, 200)))
+    rows = [(i, text(), "en", f"s{i // 5}") for i in range(100)] + [(200 + i, text(), "de", f"s{i}") for i in range(4)]
+    rows += [(300, text("####"), "en", "s3"), (301, text("####"), "de", "s1"), (302, text("####"), None, None)]
+    out = {r["doc_id"]: r for r in R.quality_rules(documents(rows)).collect()}
+    assert len(out) == len(rows)
+    assert all(r["distance"] is None and r["pooled_distance"] is not None for r in out.values())
+    assert not any(out[i]["kept"] or out[i]["base_failed"] for i in (300, 301, 302))
+    assert sum(out[i]["kept"] for i in range(100)) >= 98 and all(out[200 + i]["kept"] for i in range(4))
+
+
 def test_chi_square():
     assert R.chi_square_cdf(11.0705, 5) == pytest.approx(0.95, abs=1e-5)
     assert R.chi_square_quantile(0.99, 5) == pytest.approx(15.0863, abs=1e-3)
