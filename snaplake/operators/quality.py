@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words that stand for a missing value (fixed values).
-PLACEHOLDERS = ("", "n/a", "na", "null", "none", "unknown", "-", "?", "undefined", "nan")
+PLACEHOLDERS = ("", "n/a", "unknown", "undef", "none", "null", "-", "tbd", "na", "not available")
 BUCKETS, TOP = 10, 10
-THRESHOLDS = {"row_count_pct": 30.0, "null_rate_pp": 5.0, "mean_sigma": 2.0, "distinct_pct": 50.0, "zero_rate_pp": 10.0, "negative_rate_pp": 10.0}
+#: Thresholds of anomalies (fixed values).
+THRESHOLDS = {"row_count_pct": 30.0, "freshness_hours": 24.0, "size_pct": 50.0, "null_rate_pp": 5.0, "distinct_pct": 50.0, "zero_rate_pp": 5.0, "negative_rate_pp": 5.0, "mean_sigma": 2.0}
 
 
 def category(t: T.DataType) -> str:
@@ -77,16 +78,14 @@ def quick_profile(df: DataFrame, since: tuple[str, Any] | None = None) -> DataFr
 def frequencies(df: DataFrame, column: str) -> DataFrame:
     """One row: distinct values, Shannon entropy, share of the values of rank 1..TOP (ties included)."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    whole = counts.agg(F.sum("n").alias("total"), F.count("*").alias("unique_count"))
-    share = F.col("n") / F.col("total")
-    # the TOP-th largest count is found by a bounded top-k, so no window runs over all values in one task
-    least = counts.orderBy(F.desc("n")).limit(TOP).agg(F.min("n").alias("least"))
-    return (
-        counts.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(least))
-        .groupBy("unique_count", "total")
-        .agg(F.round(-F.sum(share * F.log2(share)), 6).alias("entropy"), F.round(100.0 * F.sum(F.when(F.col("n") >= F.col("least"), F.col("n")).otherwise(0)) / F.first("total"), 4).alias("top_coverage"))
-        .select("unique_count", "entropy", "top_coverage")
-    )
+    # one pass over the counts: sums of n and of n log2 n give the entropy, a list of the TOP largest counts and what ties with the last one give the share
+    many = F.map_from_entries(F.slice(F.sort_array(F.collect_list(F.struct("n", "k")), False), 1, TOP))
+    alike = counts.groupBy("n").agg(F.count("*").alias("k"))  # how many values have each count
+    one = alike.agg(F.sum(F.col("n") * F.col("k")).alias("total"), F.sum("k").alias("unique_count"), F.sum(F.col("k") * F.col("n") * F.log2("n")).alias("s"))
+    largest = alike.orderBy(F.desc("n")).limit(TOP).agg(many.alias("m"))
+    # counts from the largest on are taken until TOP values are in
+    taken = F.aggregate(F.sort_array(F.map_keys("m"), False), F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("rows")), lambda a, n: F.when(a["seen"] < TOP, F.struct((a["seen"] + F.col("m")[n]).alias("seen"), (a["rows"] + n * F.col("m")[n]).alias("rows"))).otherwise(a))
+    return one.crossJoin(F.broadcast(largest)).select("unique_count", F.round(F.log2("total") - F.col("s") / F.col("total"), 6).alias("entropy"), F.round(100.0 * taken["rows"] / F.col("total"), 4).alias("top_coverage"))
 
 
 def top_values(df: DataFrame, column: str) -> DataFrame:
@@ -101,7 +100,7 @@ def histogram(df: DataFrame, value: Column) -> DataFrame:
     partitions, so no task sorts all rows.
     """
     counts = df.where(value.isNotNull()).groupBy(value.cast("double").alias("v")).agg(F.count("*").alias("n"))
-    ordered = counts.repartitionByRange("v").withColumn("p", F.spark_partition_id()).persist()
+    ordered = counts.repartitionByRange("v").withColumn("p", F.spark_partition_id())
     within = ordered.withColumn("upto", F.sum("n").over(Window.partitionBy("p").orderBy("v")))
     per = ordered.groupBy("p").agg(F.sum("n").alias("m"))
     before = per.withColumn("base", F.coalesce(F.sum("m").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per partition
@@ -109,11 +108,12 @@ def histogram(df: DataFrame, value: Column) -> DataFrame:
     ranked = within.join(F.broadcast(before.select("p", "base")), "p").crossJoin(F.broadcast(total)).select("v", (F.col("base") + F.col("upto") - F.col("n")).alias("a"), (F.col("base") + F.col("upto")).alias("b"), "total")
     # NTILE: the first total % 10 buckets have one row more
     size, more = F.floor(F.col("total") / BUCKETS), F.col("total") % BUCKETS
-    parts = ranked.select("*", F.explode(F.sequence(F.lit(1), F.lit(BUCKETS))).alias("bucket"))
+    at = lambda row: F.when(row < more * (size + 1), F.floor(row / (size + 1))).otherwise(more + F.floor((row - more * (size + 1)) / F.greatest(size, F.lit(1)))) + 1
+    parts = ranked.select("*", F.explode(F.sequence(at(F.col("a")).cast("int"), at(F.col("b") - 1).cast("int"))).alias("bucket"))
     start = (F.col("bucket") - 1) * size + F.least(F.col("bucket") - 1, more)
     stop = F.col("bucket") * size + F.least(F.col("bucket"), more)
     inside = F.least(F.col("b"), stop) - F.greatest(F.col("a"), start)
-    return parts.withColumn("k", inside).where("k > 0").groupBy("bucket").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("k").cast("long").alias("n"))
+    return parts.withColumn("k", inside).groupBy("bucket").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("k").cast("long").alias("n"))
 
 
 def deep_numeric(df: DataFrame, column: str) -> DataFrame:
@@ -143,7 +143,7 @@ def deep_string(df: DataFrame, column: str) -> DataFrame:
         F.min(n).cast("long").alias("min_length"),
         F.max(n).cast("long").alias("max_length"),
         F.percentile(n, 0.5).alias("median_length"),
-        F.round(100.0 * F.count(F.when(F.lower(F.trim(c)).isin(*PLACEHOLDERS), 1)) / F.count("*"), 4).alias("placeholder_rate"),
+        F.round(100.0 * F.count(F.when(F.lower(c).isin(*PLACEHOLDERS), 1)) / F.count("*"), 4).alias("placeholder_rate"),
     )
     return base.crossJoin(F.broadcast(frequencies(df, column)))
 
@@ -195,22 +195,46 @@ def check_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def anomalies(now: DataFrame, before: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
-    """Changes between two quick profiles beyond the thresholds: column_name, anomaly, change, severity (critical from twice the threshold on)."""
+    """Changes between two quick profiles beyond the thresholds: column_name (null: the table), anomaly, change and severity.
+
+    Critical from over twice the threshold on; breaches of the bounds and of the rates of zeros and negatives are warnings.  Bounds of numbers are
+    compared as numbers, those of dates as text.
+    """
     t = {**THRESHOLDS, **(thresholds or {})}
     j = now.alias("a").join(before.alias("b"), "column_name")
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     percent = lambda x, y: F.when(y > 0, 100.0 * F.abs(x - y) / y)
-    checks = [
-        ("row_count", percent(a("total"), b("total")), t["row_count_pct"]),
-        ("null_rate", F.abs(a("null_rate") - b("null_rate")), t["null_rate_pp"]),
+    numeric = a("category") == "numeric"
+    less = lambda x, y: F.when(numeric, x.cast("double") < y.cast("double")).otherwise(x < y)
+    breaches = F.coalesce(less(a("min_value"), b("min_value")), F.lit(False)).cast("int") + F.coalesce(less(b("max_value"), a("max_value")), F.lit(False)).cast("int")
+    graded = [
+        ("null_rate", a("null_rate") - b("null_rate"), t["null_rate_pp"]),
         ("mean_shift", F.when(b("stddev_value") > 0, F.abs(a("avg_value") - b("avg_value")) / b("stddev_value")), t["mean_sigma"]),
         ("distinct_count", percent(a("distinct_count"), b("distinct_count")), t["distinct_pct"]),
-        ("zero_rate", a("zero_rate") - b("zero_rate"), t["zero_rate_pp"]),
-        ("negative_rate", a("negative_rate") - b("negative_rate"), t["negative_rate_pp"]),
     ]
-    found = [F.struct(F.lit(name).alias("anomaly"), F.round(change, 4).alias("change"), F.lit(limit).alias("limit")) for name, change, limit in checks]
-    rows = j.select("column_name", F.explode(F.array(*found)).alias("x")).select("column_name", "x.*").where(F.col("change") > F.col("limit"))
-    return rows.select("column_name", "anomaly", "change", F.when(F.col("change") >= 2 * F.col("limit"), "critical").otherwise("warning").alias("severity"))
+    plain = [
+        ("zero_rate", F.when(numeric, a("zero_rate") - b("zero_rate")), t["zero_rate_pp"]),
+        ("negative_rate", F.when(numeric, a("negative_rate") - b("negative_rate")), t["negative_rate_pp"]),
+        ("bounds", breaches.cast("double"), 0.0),
+    ]
+    found = [F.struct(F.lit(name).alias("anomaly"), F.round(change, 4).alias("change"), F.lit(limit).alias("limit"), F.lit(may).alias("graded")) for group, may in ((graded, True), (plain, False)) for name, change, limit in group]
+    rows = j.select("column_name", F.explode(F.array(*found)).alias("x")).select("column_name", "x.*")
+    sizes = now.agg(F.max("total").alias("x")).crossJoin(before.agg(F.max("total").alias("y")))
+    table = sizes.select(F.lit(None).cast("string").alias("column_name"), F.lit("row_count").alias("anomaly"), F.round(percent(F.col("x"), F.col("y")), 4).alias("change"), F.lit(t["row_count_pct"]).alias("limit"), F.lit(True).alias("graded"))
+    over = table.unionByName(rows).where(F.col("change") > F.col("limit"))
+    return over.select("column_name", "anomaly", "change", F.when(F.col("graded") & (F.col("change") > 2 * F.col("limit")), "critical").otherwise("warning").alias("severity"))
+
+
+def table_anomalies(now: dict[str, Any], before: dict[str, Any] | None, thresholds: dict[str, float] | None = None) -> list[dict[str, Any]]:
+    """Findings about a table as a whole: not updated for too long, or its bytes changed too much; each has hours (since the last write) and bytes."""
+    t, out = {**THRESHOLDS, **(thresholds or {})}, []
+    if now["hours"] > t["freshness_hours"]:
+        out.append({"column_name": None, "anomaly": "freshness", "change": round(now["hours"], 4), "severity": "warning"})
+    if before and before.get("bytes"):
+        change = 100.0 * abs(now["bytes"] - before["bytes"]) / before["bytes"]
+        if change > t["size_pct"]:
+            out.append({"column_name": None, "anomaly": "table_size", "change": round(change, 4), "severity": "critical" if change > 2 * t["size_pct"] else "warning"})
+    return out
 
 
 def schema_rows(df: DataFrame) -> DataFrame:
@@ -237,21 +261,47 @@ def may_run(now: float, pending_since: float | None, last_run: float | None, run
     return pending_since is not None and not running and (last_run is None or now - last_run >= cooldown)
 
 
-def run_check(lake, table: str, rules: list[Rule] | None = None, kind: str = "quick") -> DataFrame:
-    """Checks a table, appends the outcome to `__data_quality__` and returns the row."""
-    df = lake.table(table).read()
+_PROFILE = "column_name string, category string, total long, null_count long, null_rate double, distinct_count long, uniqueness double, min_value string, max_value string, avg_value double, stddev_value double, zero_rate double, negative_rate double"
+#: Columns of the history (fixed values).
+HISTORY = "dq_id string, checked_at timestamp, table_name string, check_type string, quality_score int, status string, row_count long, total_checks int, passed int, warnings int, critical_count int, anomaly_count int, anomalies_json string, column_stats_json string, rule_results_json string, execution_ms long"
+
+
+def run_check(lake, table: str, rules: list[Rule] | None = None, kind: str = "quick", thresholds: dict[str, float] | None = None) -> DataFrame:
+    """Checks a table against its rules and its last check, appends the outcome to `__data_quality__` and returns the row.
+
+    Anomalies and drift of the schema lower the score as findings of rules do, and are kept with it.
+    """
+    of = lake.table(table)
+    df, snapshot = of.read(), of.folder.snapshot()
     start = datetime.datetime.now(datetime.timezone.utc)
+    db = table.rpartition(".")[0]
+    history = lake.table(f"{db}.__data_quality__" if db else "__data_quality__")
+    last = history.read().where(F.col("table_name") == table).orderBy(F.desc("checked_at")).first() if history.folder.exists() else None
+    stats = json.loads(last["column_stats_json"]) if last else None
     profile = quick_profile(df).persist()
     found = check_rules(df, rules).persist() if rules else None
-    s = score(profile, found).first()
-    columns = [r.asDict() for r in profile.collect()]
-    results = [r.asDict() for r in found.collect()] if found is not None else []
+    try:
+        whole = {"hours": max(0.0, start.timestamp() * 1000 - snapshot.updated_ms) / 3.6e6, "bytes": sum(r.file_size for r in snapshot.resources), "schema": [(f.name, f.dataType.simpleString()) for f in df.schema.fields]}
+        odd = table_anomalies(whole, stats and stats.get("table"), thresholds)
+        if stats:
+            before = df.sparkSession.createDataFrame([tuple(c.get(n.split(" ")[0]) for n in _PROFILE.split(", ")) for c in stats["columns"]], _PROFILE)
+            odd += [r.asDict() for r in anomalies(profile, before, thresholds).orderBy("column_name", "anomaly").collect()]
+            old = df.sparkSession.createDataFrame([tuple(x) for x in stats["table"]["schema"]], "column_name string, data_type string")
+            if drift := [r.asDict() for r in schema_drift(schema_rows(df), old).orderBy("column_name").collect()]:
+                odd.append({"column_name": None, "anomaly": "schema_drift", "change": float(len(drift)), "severity": "warning", "columns": drift})
+        findings = df.sparkSession.createDataFrame([(x["severity"],) for x in odd], "status string")
+        s = score(profile, findings.unionByName(found.select("status")) if found is not None else findings).first()
+        columns = [r.asDict() for r in profile.collect()]
+        results = [r.asDict() for r in found.collect()] if found is not None else []
+    finally:
+        profile.unpersist()
+        if found is not None:
+            found.unpersist()
     status = "critical" if s["critical"] else "warning" if s["warnings"] else "ok"
     total = columns[0]["total"] if columns else 0
-    schema = "dq_id string, checked_at timestamp, table_name string, check_type string, quality_score int, status string, row_count long, total_checks int, passed int, warnings int, critical_count int, anomaly_count int, anomalies_json string, column_stats_json string, rule_results_json string, execution_ms long"
     took = int((datetime.datetime.now(datetime.timezone.utc) - start).total_seconds() * 1000)
-    row = (uuid.uuid4().hex, start, table, kind, s["quality_score"], status, total, len(results), sum(r["status"] == "ok" for r in results), s["warnings"], s["critical"], 0, "[]", json.dumps(columns, default=str), json.dumps(results), took)
-    out = lake.spark.createDataFrame([row], schema)
-    db = table.rpartition(".")[0]
-    lake.table(f"{db}.__data_quality__" if db else "__data_quality__").append(out)
+    kept = json.dumps({"table": whole, "columns": columns}, default=str)
+    row = (uuid.uuid4().hex, start, table, kind, s["quality_score"], status, total, len(results), sum(r["status"] == "ok" for r in results), s["warnings"], s["critical"], len(odd), json.dumps(odd, default=str), kept, json.dumps(results), took)
+    out = lake.spark.createDataFrame([row], HISTORY)
+    history.append(out)
     return out
