@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import random
 import re
 import threading
 import time
+import uuid
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -19,21 +21,39 @@ from .operators import write as writing
 from .operators.monitor import Monitor
 from .operators.rbac import Role, Roles, compile_filter
 from .plans import dialect, pruning
-from .sources.catalog import Database, NotFound, Snapshot
+from .sources.catalog import Conflict, Database, NotFound, Snapshot
+from .sources.mirror import after_commit
 from .sources.scan import live
 from .sources.storage import Store
 from .types import union_all
 
 
+#: Tries of a write that other writers overtake.
+ATTEMPTS = 10
+
+
 class Table:
     def __init__(self, lake: Lake, database: Database, name: str):
         self.lake, self.database, self.name = lake, database, name
         self.folder = database.folder(name)
 
+    @property
+    def full_name(self) -> str:
+        return f"{self.database.name}.{self.name}"
+
     def _write(self, role: str, df: DataFrame, **how: Any) -> tuple[int, int, int, int]:
-        self.lake.roles.get(role).need("write", self.name)
+        """A write that another one overtakes starts again from the new version; what it had written is named by no version."""
+        self.lake.roles.get(role).need("write", self.full_name)
         start = time.time()
-        out = writing.write(self.folder, df, **how)
+        for left in range(ATTEMPTS - 1, -1, -1):
+            try:
+                out = writing.write(self.folder, df, **how)
+                break
+            except Conflict:
+                if not left:
+                    raise
+                time.sleep(random.uniform(0, 0.1 * (ATTEMPTS - left)))
+        after_commit(self.folder)
         self.lake.monitor.record("writes", table_name=self.name, role_name=role, overwrite_columns=how.get("keys") or [], newer_than=how.get("newer_than"), delete_only=how.get("delete_only", False), total_columns=out[0], inserted=out[2], deleted=out[3], duration=time.time() - start)
         return out
 
@@ -73,7 +93,10 @@ class Table:
         return self.lake.spark.createDataFrame(rows, "version long, previous long, files long, physical_rows long, deleted_rows long, live_rows long, lineage string")
 
     def stats(self) -> DataFrame:
-        return pruning.stats_frame(self.lake.spark, self.folder.snapshot())
+        """Statistics of the current files' columns, from their footers."""
+        snapshot = self.folder.snapshot()
+        names = self.lake.spark.createDataFrame([(r.file,) for r in snapshot.resources], "file_path string")
+        return pruning.stats_frame(self.lake.spark, snapshot).join(names, "file_path", "left_semi")
 
     def set_row_filter(self, f: Any) -> None:
         """A share's filter: it holds for every reader, beside those of roles."""
@@ -95,7 +118,7 @@ class Lake:
         self.spark, self.default = spark, default
         self.store = Store(spark)
         self.path = self.store.qualified(path)
-        self.roles = Roles(self.store, f"{self.path}/_access")
+        self.roles = Roles(self.store, f"{self.path}/_access", default)
         self.monitor = Monitor(self.store, f"{self.path}/_metrics")
 
     def database(self, name: str | None = None) -> Database:
@@ -116,33 +139,48 @@ class Lake:
         found = re.findall(r"'UnresolvedRelation \[([^\]]*)\]", plan.treeString())
         return [[p.strip() for p in x.split(",")] for x in dict.fromkeys(found)]
 
-    def _view(self, session: SparkSession, table: Table, role: Role, intervals: dict | None, schema_mode: str) -> DataFrame:
-        snapshot = table.folder.snapshot()
-        use = pruning.pruned(session, snapshot, [intervals]) if intervals else None
-        rows = live(session, snapshot, use, schema_mode=schema_mode)
+    def _view(self, session: SparkSession, name: str, table: Table, snapshot: Snapshot, files: list | None, role: Role, schema_mode: str, collation: str | None) -> None:
+        """The view under which a statement reads a table: all its files, or those that a first plan has left."""
+        rows = live(session, snapshot, files, schema_mode=schema_mode)
         if (shared := table.row_filter()) is not None:
             rows = rows.where(compile_filter(shared))
-        return role.view(rows, table.name)
+        rows = role.view(rows, table.full_name)
+        if collation == "nocase":
+            rows = rows.select(*(F.collate(F.col(f"`{f.name}`"), "UTF8_LCASE").alias(f.name) if f.dataType == T.StringType() else F.col(f"`{f.name}`") for f in rows.schema.fields))
+        rows.createOrReplaceTempView(name)
+
+    def _fewer_files(self, session: SparkSession, plan: DataFrame, tables: dict[str, tuple[Table, Snapshot]]) -> dict[str, list]:
+        """For each view, the files that its table's occurrences in the plan need, where these are fewer than all."""
+        optimized, out = None, {}
+        for view, (table, snapshot) in tables.items():
+            if not snapshot.stats or len(snapshot.resources) < 2:
+                continue
+            optimized = optimized or plan._jdf.queryExecution().optimizedPlan()  # noqa: SLF001
+            if wanted := pruning.occurrences(optimized, table.folder.path):
+                files = pruning.pruned(session, snapshot, wanted)
+                if len(files) < len(snapshot.resources):
+                    out[view] = files
+        return out
 
     def sql(self, query: str, role: str = "superadmin", limit: int | None = None, prune: bool = True, schema_mode: str = "last", collation: str | None = None, timeout: float | None = None) -> DataFrame:
         """A lazy DataFrame of a SELECT, WITH, EXPLAIN [ANALYZE] or SHOW STATS.
 
-        limit: for statements without a LIMIT of their own.  collation "nocase" compares strings without case.
+        limit: for statements without a LIMIT of their own.  collation "nocase" compares strings without case.  timeout: the
+        statement is run at once, for so many seconds at most, and its result is kept (persisted); else it runs when the result is used.
         """
         kind, body = dialect.classify(query)
         who = self.roles.get(role)
         start = time.time()
         if kind == "show stats":
-            who.need("read", body.rpartition(".")[2])
+            who.need("read", self.table(body).full_name)
             return self.table(body).stats()
         session = self.spark.newSession()
         for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.autoBroadcastJoinThreshold"):
             session.conf.set(key, self.spark.conf.get(key))
         register(session)
         spark_sql = dialect.to_spark(body)
-        intervals = dialect.where_intervals(body) if prune and collation != "nocase" else None
         known: dict[tuple[str, str], str] = {}
-        seen: dict[str, Table] = {}
+        seen: dict[str, tuple[Table, Snapshot]] = {}
         for parts in self._relations(session, spark_sql):
             db, name = (self.default, parts[0]) if len(parts) == 1 else (parts[-2], parts[-1])
             try:
@@ -157,23 +195,25 @@ class Lake:
             view = name if len(parts) == 1 else f"{db}__{name}"
             if len(parts) > 1:
                 known[(db.lower(), name.lower())] = view
-            rows = self._view(session, table, who, intervals, schema_mode)
-            if collation == "nocase":
-                rows = rows.select(*(F.collate(F.col(f"`{f.name}`"), "UTF8_LCASE").alias(f.name) if f.dataType == T.StringType() else F.col(f"`{f.name}`") for f in rows.schema.fields))
-            rows.createOrReplaceTempView(view)
-            seen[name] = table
+            seen[view] = (table, table.folder.snapshot())
+            self._view(session, view, *seen[view], None, who, schema_mode, collation)
         final = dialect.rename_tables(spark_sql, known)
         try:
             out = session.sql(final)
         except AnalysisException as e:
-            for name, table in seen.items():
-                hidden = who.hidden([f.name for f in table.folder.snapshot().struct.fields], name)
+            for table, snapshot in seen.values():
+                hidden = who.hidden([f.name for f in snapshot.struct.fields], table.full_name)
                 missing = re.search(r"with name (.+?) cannot be resolved", str(e))
                 if missing and missing[1].replace("`", "").split(".")[-1].lower() in hidden:
                     raise PermissionError(f"role {role} may not read {missing[1]}") from None
             if (missing := re.search(r"with name (.+?) cannot be resolved", str(e))) and seen:
                 raise ValueError(f"Missing required column(s): {missing[1]}") from e
             raise
+        files = self._fewer_files(session, out, seen) if prune else {}
+        if files:
+            for view, use in files.items():
+                self._view(session, view, *seen[view], use, who, schema_mode, collation)
+            out = session.sql(final)
         if kind != "select":
             plan = out._jdf.queryExecution()  # noqa: SLF001
             if kind == "explain analyze":
@@ -182,9 +222,9 @@ class Lake:
             return session.createDataFrame([(plan.toString(),)], "plan string")
         if limit is not None and not any(t.word == "limit" for t in _outer(dialect.tokens(body))):
             out = out.limit(limit)
+        self.monitor.record("plans", role_name=role, sql=query[:500], engine="spark", tables=sorted(seen), files=sum(len(x.resources) for _, x in seen.values()), files_read=sum(len(files.get(v, x.resources)) for v, (_, x) in seen.items()), planning_seconds=time.time() - start)
         if timeout:
-            _cancel_after(session, timeout)
-        self.monitor.record("plans", role_name=role, sql=query[:500], engine="spark", tables=sorted(seen), planning_seconds=time.time() - start)
+            _within(out, timeout)
         return out
 
     # --- metadata ------------------------------------------------------------------------------------------------
@@ -238,10 +278,26 @@ def _outer(ts: list[dialect.Token]) -> list[dialect.Token]:
     return out
 
 
-def _cancel_after(session: SparkSession, seconds: float) -> None:
-    """Jobs that this thread starts from now on are cancelled after so many seconds."""
-    tag = f"snaplake-{time.time_ns()}"
-    session.sparkContext.addJobTag(tag)
-    timer = threading.Timer(seconds, session.sparkContext.cancelJobsWithTag, [tag])
+def _within(df: DataFrame, seconds: float) -> None:
+    """Computes and persists df; jobs of this thread carry a tag meanwhile, by which they are cancelled after so many seconds."""
+    context, tag = df.sparkSession.sparkContext, f"snaplake-{uuid.uuid4().hex}"
+    late = threading.Event()
+
+    def cancel() -> None:
+        late.set()
+        context.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, cancel)
     timer.daemon = True
+    context.addJobTag(tag)
     timer.start()
+    try:
+        df.persist().count()
+    except Exception as e:
+        df.unpersist()
+        if late.is_set():
+            raise TimeoutError(f"cancelled after {seconds} seconds") from e
+        raise
+    finally:
+        timer.cancel()
+        context.removeJobTag(tag)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.catalog import ROW_FILE, Snapshot, TableFolder
-from ..sources.scan import deletions, live, read_files, without_deleted
+from ..sources.scan import deletions, file_key, live, path_key, read_files, without_deleted
 
 CHUNK_BYTES, MAX_SMALL_FILES, MAX_DELETION_ROWS = 16 << 20, 100, 1_000_000
 
@@ -30,7 +30,7 @@ def _chunked(rows: DataFrame, size: int, chunk: int) -> DataFrame:
 
 def drain(spark: SparkSession, folder: TableFolder, snapshot: Snapshot) -> Snapshot:
     """Rewrites the files that have deleted rows without them; row ids stay."""
-    from .write import file_key, path_key, write_files
+    from .write import write_files
 
     dead = deletions(spark, snapshot)
     if dead is None:
@@ -42,7 +42,7 @@ def drain(spark: SparkSession, folder: TableFolder, snapshot: Snapshot) -> Snaps
     if touched:
         rows = without_deleted(read_files(spark, touched), dead, snapshot.deletion_rows)
         made = write_files(_chunked(rows, sum(r.file_size for r in touched), limits(folder)[0]), folder, [])
-    return replace(snapshot, resources=kept + made, deletions=None, deletion_rows=0)
+    return replace(snapshot, resources=kept + made, deletions=[], deletion_rows=0)
 
 
 def merge(spark: SparkSession, folder: TableFolder, snapshot: Snapshot, small_only: bool = True) -> Snapshot:

@@ -76,12 +76,16 @@ def compile_filter(f: Any) -> Column:
 
 @dataclass
 class Role:
-    """tables: name or "*" -> {"columns": [...], "filters": filter}; [] or ["*"] are all columns."""
+    """tables: name -> {"columns": [...], "filters": filter}; [] or ["*"] are all columns.
+
+    A name is "database.table", "database.*" or "*.*"; "table" and "*" alone are those of the home database, the lake's default.
+    """
 
     name: str
     kind: str
     tables: dict[str, dict] = field(default_factory=dict)
     role_id: str = field(default_factory=lambda: uuid.uuid4().hex)
+    home: str = "main"
 
     def __post_init__(self) -> None:
         if self.kind not in ALLOWED:
@@ -100,7 +104,11 @@ class Role:
             raise PermissionError(f"role {self.name} may not {what} {table or ''}".strip())
 
     def rule(self, table: str) -> dict | None:
-        return self.tables.get(table, self.tables.get("*"))
+        """The rule for "database.table", or "table" of the home database: the closest one that is given."""
+        db, _, name = table.rpartition(".")
+        db = db or self.home
+        names = [f"{db}.{name}", *([name] if db == self.home else []), f"{db}.*", *(["*"] if db == self.home else []), "*.*"]
+        return next((self.tables[n] for n in names if n in self.tables), None)
 
     def view(self, rows: DataFrame, table: str) -> DataFrame:
         """What the role sees of the table's rows; filters may use columns that it doesn't see."""
@@ -124,15 +132,15 @@ class Role:
 class Roles:
     """Roles and users as documents of a lake."""
 
-    def __init__(self, store: Store, path: str):
-        self.store, self.path = store, path
+    def __init__(self, store: Store, path: str, home: str = "main"):
+        self.store, self.path, self.home = store, path, home
 
     def save(self, role: Role) -> Role:
         self.store.write_json(f"{self.path}/roles/{role.role_id}.json", {"name": role.name, "kind": role.kind, "tables": role.tables, "role_id": role.role_id, "content_hash": role.content_hash}, overwrite=True)
         return role
 
     def all(self) -> list[Role]:
-        return [Role(**{k: v for k, v in self.store.read_json(p).items() if k != "content_hash"}) for p, _, _ in self.store.list(f"{self.path}/roles") if p.endswith(".json")]
+        return [Role(**{k: v for k, v in self.store.read_json(p).items() if k != "content_hash"}, home=self.home) for p, _, _ in self.store.list(f"{self.path}/roles") if p.endswith(".json")]
 
     def get(self, name: str) -> Role:
         found = next((r for r in self.all() if name in (r.name, r.role_id)), None)

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime
 import json
+import threading
+from collections.abc import Iterator
 from dataclasses import replace
-from urllib.parse import unquote
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import pruning
-from ..sources.catalog import ROW_FILE, ROW_ID, ROW_TIME, SYSTEM, Resource, Snapshot, TableFolder
-from ..sources.scan import DELETIONS, deletions, read_files
+from ..plans.stats import footers
+from ..sources.catalog import MANIFESTS, ROW_FILE, ROW_ID, ROW_TIME, SYSTEM, Resource, Snapshot, TableFolder
+from ..sources.scan import DELETIONS, deletions, file_key, path_key, read_files
 
 #: Rows of a row group are limited by bytes in Spark; files are cut at this many rows.
 FILE_ROWS = 4_000_000
@@ -43,20 +46,34 @@ def with_row_ids(df: DataFrame, start: int) -> tuple[DataFrame, int]:
     return numbered.join(F.broadcast(table), "_p").withColumn(ROW_ID, F.col("_start") + F.col("_k")).drop("_p", "_k", "_start"), at - start
 
 
+_SETTING, _writers = threading.Lock(), {"n": 0, "before": ""}
+
+
+@contextlib.contextmanager
+def _bounded_timestamps(spark: SparkSession) -> Iterator[None]:
+    """Timestamps are written as microseconds, as the older kind has no bounds in footers; the setting stays until the last of several writers is done."""
+    kind = "spark.sql.parquet.outputTimestampType"
+    with _SETTING:
+        if not _writers["n"]:
+            _writers["before"] = spark.conf.get(kind)
+        _writers["n"] += 1
+        spark.conf.set(kind, "TIMESTAMP_MICROS")
+    try:
+        yield
+    finally:
+        with _SETTING:
+            _writers["n"] -= 1
+            if not _writers["n"]:
+                spark.conf.set(kind, _writers["before"])
+
+
 def write_files(df: DataFrame, folder: TableFolder, sort: list[str]) -> list[Resource]:
     """Writes rows as data files, sorted within each so that row groups have narrow ranges; returns what was written."""
-    from ..plans.stats import footers
-
     path = folder.fresh("data")
     keys = [c for c in [ROW_TIME, *sort] if c in df.columns]
     out = df.sortWithinPartitions(*keys) if keys else df
-    conf, kind = df.sparkSession.conf, "spark.sql.parquet.outputTimestampType"
-    before = conf.get(kind)
-    conf.set(kind, "TIMESTAMP_MICROS")  # the older kind has no bounds in footers
-    try:
+    with _bounded_timestamps(df.sparkSession):
         out.write.option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS).parquet(path)
-    finally:
-        conf.set(kind, before)
     files = [(p, n) for p, n, d in folder.store.list(path) if not d and p.endswith(".parquet")]
     schema = json.dumps(json.loads(df.schema.json()))
     rows = footers(df.sparkSession, [p for p, _ in files])
@@ -105,6 +122,7 @@ def write(folder: TableFolder, df: DataFrame, keys: list[str] | None = None, new
     validate(folder, df, keys, newer_than, delete_only)
     before = folder.snapshot() if folder.exists() else Snapshot(-1, "{}")
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = [df]
     try:
         candidates = pruning.files_for_keys(spark, before, df, keys) if keys and before.resources else before.resources
         existing = read_files(spark, candidates, with_file=True) if candidates and (keys or delete_only) else None
@@ -114,36 +132,39 @@ def write(folder: TableFolder, df: DataFrame, keys: list[str] | None = None, new
         if newer_than:
             has = existing is not None and newer_than.lower() in {c.lower() for c in existing.columns}
             incoming = keep_newer(df, existing if has else None, keys, newer_than)
-            if incoming.isEmpty():
-                return len(df.columns), 0, 0, 0
             incoming = incoming.persist(StorageLevel.MEMORY_AND_DISK)
-        dead, n_dead, n_deleted = before.deletions, before.deletion_rows, 0
+            kept.append(incoming)
+        stamped, n_rows = (None, 0) if delete_only else with_row_ids(incoming, before.next_row_id)
+        if newer_than and not n_rows:
+            return len(df.columns), 0, 0, 0
+        dead, n_dead, n_deleted, fresh = before.deletions, before.deletion_rows, 0, None
         if existing is not None and (keys or delete_only) and ROW_ID in existing.columns:
             if keys:
                 wanted = incoming.select(*keys).distinct()
                 hit = _pairs(existing.join(wanted, same_key(existing, wanted, keys), "left_semi"))
             else:
                 hit = _pairs(existing)
+            # a vector of its own for what this write deletes; older ones stay as they are
             old = deletions(spark, before)
             new = hit if old is None else hit.join(old.select(ROW_ID), ROW_ID, "left_anti").select(ROW_FILE, ROW_ID)
-            at = folder.fresh("deletions")
-            merged = new.dropDuplicates([ROW_ID]) if old is None else old.unionByName(new).dropDuplicates([ROW_ID])
-            merged.write.option("compression", "zstd").parquet(at)
-            total = spark.read.schema(DELETIONS).parquet(at).count()
-            n_deleted = total - n_dead
-            dead, n_dead = (at, total) if n_deleted else (dead, n_dead)
-        resources, schema, added, n_rows, next_id = list(before.resources), before.schema, [], 0, before.next_row_id
+            fresh = folder.fresh("deletions")
+            new.write.option("compression", "zstd").parquet(fresh)
+            n_deleted = sum(footers(spark, [p for p, _, d in folder.store.list(fresh) if not d and p.endswith(".parquet")]).values())
+            if n_deleted:
+                dead, n_dead = [*dead, fresh], n_dead + n_deleted
+        resources, schema, added, next_id = list(before.resources), before.schema, [], before.next_row_id + n_rows
         if not delete_only:
-            stamped, n_rows = with_row_ids(incoming, next_id)
-            next_id += n_rows
             now = datetime.datetime.now(datetime.timezone.utc)
             added = write_files(stamped.withColumn(ROW_TIME, F.lit(now)), folder, keys)
             schema = json.dumps(json.loads(df.schema.json()))
         elif before.version < 0:
             schema = json.dumps(json.loads(df.schema.json()))
         after = replace(before, version=before.version + 1, previous=before.version if before.version >= 0 else None, schema=schema, resources=resources + added, deletions=dead, deletion_rows=n_dead, next_row_id=next_id)
+        if lineage and "batch" in lineage:
+            after.batches = {**before.batches, f"{lineage['operation']}:{lineage['pipe']}": lineage["batch"]}
         after.lineage = lineage or {"operation": "delete" if delete_only else "upsert" if keys else "append", "keys": keys, "newer_than": newer_than}
-        after = reclaim(spark, folder, after)
+        if n_deleted:
+            after = merged_deletions(spark, folder, reclaim(spark, folder, after, fresh, n_deleted))
         if auto_compact:
             from .compact import compacted
 
@@ -152,32 +173,38 @@ def write(folder: TableFolder, df: DataFrame, keys: list[str] | None = None, new
         folder.commit(after)
         return len(df.columns), n_rows, n_rows, n_deleted
     finally:
-        df.unpersist()
-
-
-def file_key(path: Column) -> Column:
-    """The last two parts of a file's path, which are the same in every spelling of it."""
-    return F.concat_ws("/", F.element_at(F.split(path, "/"), -2), F.element_at(F.split(path, "/"), -1))
+        for x in kept:
+            x.unpersist()
 
 
-def path_key(path: str) -> str:
-    return "/".join(unquote(path).split("/")[-2:])
-
-
-def reclaim(spark, folder: TableFolder, snapshot: Snapshot) -> Snapshot:
-    """Drops files of which every row is deleted, with their part of the deletion vector."""
-    if not snapshot.deletions or not snapshot.deletion_rows:
+def merged_deletions(spark: SparkSession, folder: TableFolder, snapshot: Snapshot) -> Snapshot:
+    if len(snapshot.deletions) <= MANIFESTS:
+        return snapshot
+    at = folder.fresh("deletions")
+    deletions(spark, snapshot).coalesce(max(1, snapshot.deletion_rows // FILE_ROWS)).write.option("compression", "zstd").parquet(at)
+    return replace(snapshot, deletions=[at])
+
+
+def reclaim(spark: SparkSession, folder: TableFolder, snapshot: Snapshot, fresh: str, n_fresh: int) -> Snapshot:
+    """Drops files of which every row is deleted, with their part of the deletion vectors.  Only files that the vector `fresh` touches can be such."""
+    key = file_key(F.col(ROW_FILE)).alias("k")
+    now = {r["k"]: r["n"] for r in spark.read.schema(DELETIONS).parquet(fresh).groupBy(key).agg(F.count("*").alias("n")).collect()}
+    before = snapshot.deletion_rows - n_fresh
+    may = {path_key(r.file): r.rows for r in snapshot.resources if now.get(path_key(r.file), 0) and now[path_key(r.file)] + before >= r.rows}
+    if not may:
         return snapshot
-    dead = deletions(spark, snapshot)
-    counts = {r["k"]: r["n"] for r in dead.groupBy(file_key(F.col(ROW_FILE)).alias("k")).agg(F.count("*").alias("n")).collect()}
-    gone = {path_key(r.file) for r in snapshot.resources if counts.get(path_key(r.file), 0) >= r.rows}
+    dead = deletions(spark, snapshot).withColumn("k", key)
+    counts = now
+    if before:
+        names = spark.createDataFrame([(k,) for k in sorted(may)], "k string")
+        counts = {r["k"]: r["n"] for r in dead.join(names, "k", "left_semi").groupBy("k").agg(F.count("*").alias("n")).collect()}
+    gone = {k: counts[k] for k, rows in may.items() if counts.get(k, 0) >= rows}
     if not gone:
         return snapshot
     kept = [r for r in snapshot.resources if path_key(r.file) not in gone]
-    left = sum(n for k, n in counts.items() if k not in gone)
-    at = None
+    left, at = snapshot.deletion_rows - sum(gone.values()), []
     if left:
-        at = folder.fresh("deletions")
+        at = [folder.fresh("deletions")]
         names = spark.createDataFrame([(g,) for g in sorted(gone)], "k string")
-        dead.withColumn("k", file_key(F.col(ROW_FILE))).join(names, "k", "left_anti").select(ROW_FILE, ROW_ID).write.parquet(at)
+        dead.join(names, "k", "left_anti").select(ROW_FILE, ROW_ID).write.option("compression", "zstd").parquet(at[0])
     return replace(snapshot, resources=kept, deletions=at, deletion_rows=left)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime
-import re
+import io
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.catalog import SYSTEM
+from ..sources.storage import address
 
 L, D, S, B, N = T.LongType(), T.DoubleType(), T.StringType(), T.BooleanType(), T.TimestampNTZType()
 STATS = T.StructType(
@@ -31,8 +32,7 @@ def _footer(path: str):
     import pyarrow.fs
     import pyarrow.parquet as pq
 
-    # Hadoop writes file:/x where others write file:///x
-    store, at = pyarrow.fs.FileSystem.from_uri(re.sub(r"^(\w+):/(?!/)", r"\1:///", path) if ":" in path else f"file://{path}")
+    store, at = pyarrow.fs.FileSystem.from_uri(address(path))
     return pq.read_metadata(at, filesystem=store)
 
 
@@ -98,12 +98,24 @@ def collect_stats(spark: SparkSession, paths: list[str]) -> DataFrame:
                     out[f.name] = out[f.name].astype("Int64")
             yield out
 
-    if not paths:
-        return spark.createDataFrame([], STATS)
+    if len(paths) <= 8:  # not worth a job
+        rows = [r for p in paths for r in footer_rows(p)]
+        return spark.createDataFrame([tuple(r[n] for n in STATS.names) for r in rows], STATS).coalesce(1)
     rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(min(len(paths), spark.sparkContext.defaultParallelism * 2))
     return rows.mapInPandas(run, STATS)
 
 
-def file_ranges(stats: DataFrame, columns: list[str]) -> list[dict]:
-    """For each file and row group, the ranges of the columns: [{file_path, row_group_id, column_name, ...}]."""
-    return [r.asDict() for r in stats.where(F.lower("column_name").isin([c.lower() for c in columns])).collect()]
+def write_stats(spark: SparkSession, paths: list[str], target: str, store) -> None:
+    """Writes the statistics of some files; a few rows go straight into a file, without a job."""
+    if len(paths) > 8:
+        collect_stats(spark, paths).coalesce(max(1, len(paths) // 2000)).write.option("compression", "zstd").parquet(target)
+        return
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    kinds = {L: pa.int64(), D: pa.float64(), S: pa.string(), B: pa.bool_(), N: pa.timestamp("us")}
+    rows = [r for p in paths for r in footer_rows(p)]
+    table = pa.Table.from_pylist(rows, pa.schema([(f.name, kinds[f.dataType]) for f in STATS.fields]))
+    out = io.BytesIO()
+    pq.write_table(table, out, compression="zstd")
+    store.write_bytes(f"{target}/part-00000.parquet", out.getvalue())

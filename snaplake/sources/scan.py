@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 from collections import defaultdict
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +36,17 @@ def read_files(spark: SparkSession, resources: list[Resource], with_file: bool =
     return reduce(DataFrame.unionByName, parts)
 
 
+def file_key(path: Column) -> Column:
+    """The last two parts of a file's path, which are the same in every spelling of it."""
+    return F.concat_ws("/", F.element_at(F.split(path, "/"), -2), F.element_at(F.split(path, "/"), -1))
+
+
+def path_key(path: str) -> str:
+    return "/".join(unquote(path).split("/")[-2:])
+
+
 def deletions(spark: SparkSession, snapshot: Snapshot) -> DataFrame | None:
-    return spark.read.schema(DELETIONS).parquet(snapshot.deletions) if snapshot.deletions else None
+    return spark.read.schema(DELETIONS).parquet(*snapshot.deletions) if snapshot.deletions else None
 
 
 def without_deleted(rows: DataFrame, dead: DataFrame | None, n: int) -> DataFrame:

@@ -71,7 +71,7 @@ class Pipe:
         """A batch that the table's log has already is skipped, so a restart adds nothing twice."""
         d = self.definition
         table = self.lake.table(d["table"])
-        if table.folder.exists() and any(s.lineage.get("pipe") == self.name and s.lineage.get("batch", -1) >= batch_id for s in table.folder.history()):
+        if table.folder.exists() and table.folder.last_batch("pipe", self.name) >= batch_id:
             return
         how = {"lineage": {"operation": "pipe", "pipe": self.name, "batch": batch_id}}
         if d["keys"]:
