@@ -155,7 +155,7 @@ def w_compact_preserves(spark, sf_dir):
     t = _table(spark, base.where("o_orderkey % 2 = 0"), base.where("o_orderkey % 2 = 1"))
     t.upsert(_delta(base), ["o_orderkey"])
     done = t.compact()
-    assert done["files_after"] <= done["files_before"] and t.snapshot().deletions is None
+    assert done["files_after"] <= done["files_before"] and not t.snapshot().deletions
     return t.read()
 
 
@@ -281,10 +281,15 @@ def dq_deep_numeric(spark, sf_dir):
 
 
 @register(
-    """SELECT count(*) AS total, round(avg(length(p_brand)), 4) AS avg_length, min(length(p_brand))::BIGINT AS min_length, max(length(p_brand))::BIGINT AS max_length, count(DISTINCT p_brand) AS unique_count FROM part"""
+    """WITH d AS (SELECT CASE p_partkey % 13 WHEN 0 THEN 'N/A' WHEN 1 THEN NULL WHEN 2 THEN 'not available' ELSE p_brand END AS v FROM part),
+       f AS (SELECT v, count(*) AS n FROM d WHERE v IS NOT NULL GROUP BY v), w AS (SELECT sum(n) AS total, count(*) AS u FROM f), r AS (SELECT n, rank() OVER (ORDER BY n DESC) AS k FROM f)
+       SELECT count(*) AS total, round(avg(length(v)), 4) AS avg_length, round(variance(length(v)), 4) AS var_length, min(length(v))::BIGINT AS min_length, max(length(v))::BIGINT AS max_length,
+       quantile_cont(length(v), 0.5)::DOUBLE AS median_length, round(100.0 * count(*) FILTER (WHERE lower(v) IN ('', 'n/a', 'unknown', 'undef', 'none', 'null', '-', 'tbd', 'na', 'not available')) / count(*), 4)::DOUBLE AS placeholder_rate,
+       (SELECT u FROM w) AS unique_count, (SELECT round(-sum(n / total * log2(n / total)), 6) FROM f, w) AS entropy, (SELECT round(100.0 * sum(n) / (SELECT total FROM w), 4)::DOUBLE FROM r WHERE k <= 10) AS top_coverage FROM d"""
 )
 def dq_deep_string(spark, sf_dir):
-    return quality.deep_string(_read(spark, sf_dir, "part"), "p_brand").select("total", "avg_length", "min_length", "max_length", "unique_count")
+    v = F.expr("CASE p_partkey % 13 WHEN 0 THEN 'N/A' WHEN 1 THEN NULL WHEN 2 THEN 'not available' ELSE p_brand END")
+    return quality.deep_string(_read(spark, sf_dir, "part").select(v.alias("v")), "v")
 
 
 @register("SELECT p_brand AS value, count(*) AS n FROM part GROUP BY p_brand ORDER BY n DESC, value LIMIT 10")
@@ -308,12 +313,22 @@ def dq_custom_rules(spark, sf_dir):
     return quality.check_rules(_read(spark, sf_dir, "part"), rules).select("rule_name", "measured", "status")
 
 
-@register("SELECT 'c_acctbal' AS column_name, 'null_rate' AS anomaly, 'critical' AS severity")
+@register(
+    """WITH n AS (SELECT CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS b, c_custkey * 3 AS k FROM customer WHERE c_custkey % 2 = 0),
+       d AS (SELECT 100.0 * abs((SELECT count(*) FROM n) - count(*)) / count(*) AS rows_pct, round(100.0 * (SELECT count(*) - count(b) FROM n) / (SELECT count(*) FROM n), 2) AS nulls,
+         100.0 * abs((SELECT count(DISTINCT b) FROM n) - count(DISTINCT c_acctbal)) / count(DISTINCT c_acctbal) AS d_b, 100.0 * abs((SELECT count(DISTINCT k) FROM n) - count(DISTINCT c_custkey)) / count(DISTINCT c_custkey) AS d_k,
+         abs((SELECT round(avg(k), 4) FROM n) - round(avg(c_custkey), 4)) / round(stddev(c_custkey), 4) AS z FROM customer)
+       SELECT NULL AS column_name, 'row_count' AS anomaly, round(rows_pct, 4)::DOUBLE AS change, CASE WHEN rows_pct > 60 THEN 'critical' ELSE 'warning' END AS severity FROM d WHERE rows_pct > 30
+       UNION ALL SELECT 'c_acctbal', 'null_rate', round(nulls, 4)::DOUBLE, CASE WHEN nulls > 10 THEN 'critical' ELSE 'warning' END FROM d WHERE nulls > 5
+       UNION ALL SELECT 'c_acctbal', 'distinct_count', round(d_b, 4)::DOUBLE, CASE WHEN d_b > 100 THEN 'critical' ELSE 'warning' END FROM d WHERE d_b > 50
+       UNION ALL SELECT 'c_custkey', 'distinct_count', round(d_k, 4)::DOUBLE, 'warning' FROM d WHERE d_k > 50
+       UNION ALL SELECT 'c_custkey', 'mean_shift', round(z, 4)::DOUBLE, CASE WHEN z > 4 THEN 'critical' ELSE 'warning' END FROM d WHERE z > 2
+       UNION ALL SELECT 'c_custkey', 'bounds', 1.0::DOUBLE, 'warning'"""
+)
 def dq_anomalies(spark, sf_dir):
     base = _read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    now = base.withColumn("c_acctbal", F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")))
-    found = quality.anomalies(quality.quick_profile(now), quality.quick_profile(base))
-    return found.where("anomaly = 'null_rate'").select("column_name", "anomaly", "severity")
+    now = base.where("c_custkey % 2 = 0").select((F.col("c_custkey") * 3).alias("c_custkey"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")).alias("c_acctbal"))
+    return quality.anomalies(quality.quick_profile(now), quality.quick_profile(base))
 
 
 @register("SELECT * FROM (VALUES ('r_name', 'removed'), ('r_comment', 'added'), ('r_regionkey', 'type_changed')) v(column_name, change)")
@@ -360,12 +375,14 @@ def au_query(spark, sf_dir):
 
 
 @register(
-    """WITH b AS (SELECT event_type, string_agg(CAST(event_id AS VARCHAR), chr(10) ORDER BY CAST(event_id AS VARCHAR)) AS ids, sha256(string_agg(CAST(user_id AS VARCHAR), chr(10) ORDER BY CAST(user_id AS VARCHAR))) AS body FROM events WHERE event_id < 2000 GROUP BY event_type)
-       SELECT event_type AS category, sha256(ids || chr(10) || body) AS batch_hash FROM b"""
+    """WITH e AS (SELECT event_type AS category, event_id // 500 AS batch, CAST(event_id AS VARCHAR) AS i, CAST(user_id AS VARCHAR) AS u FROM events),
+       b AS (SELECT category, batch, string_agg(i, chr(10) ORDER BY i) AS ids, sha256(string_agg(u, chr(10) ORDER BY u)) AS body FROM e GROUP BY category, batch)
+       SELECT category, batch, sha256(ids || chr(10) || body) AS batch_hash FROM b"""
 )
 def au_batch_hash(spark, sf_dir):
-    events = _audit(spark, sf_dir).where("cast(event_id as long) < 2000")
-    return audit.batch_hashes(events, ["category"], F.col("actor_id"))
+    """All events, in batches of bounded size."""
+    events = _audit(spark, sf_dir).withColumn("batch", F.expr("cast(event_id as long) div 500"))
+    return audit.batch_hashes(events, ["category", "batch"], F.col("actor_id"))
 
 
 @register(
@@ -414,14 +431,18 @@ def st_session_window(spark, sf_dir):
     return sessions(events, "ts", "30 minutes", "user_id").select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
 
 
-@register(None)
+@register(
+    """WITH m AS (SELECT max(ts) - INTERVAL '10 minutes' AS mark FROM events), w AS (SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2)
+       SELECT window_start, event_type, n, total FROM w, m WHERE window_start + INTERVAL '1 hour' <= mark"""
+)
 def st_stream_watermark(spark, sf_dir):
     """A stream over files with late rows let in for ten minutes; windows that are still open at the end aren't given out."""
     source = folder(spark)
     events = _read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     events.repartition(1).sortWithinPartitions("ts").write.parquet(f"{source}/in")
     stream = spark.readStream.schema(events.schema).parquet(f"{source}/in")
-    return collected(tumbling(stream, "ts", "1 hour", ["event_type"], "value", late="10 minutes"), spark, source)
+    out = collected(tumbling(stream, "ts", "1 hour", ["event_type"], "value", late="10 minutes"), spark, source)
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @register("SELECT * FROM (" + BASE + ") b WHERE b.o_orderkey % 4 <> 0")
@@ -435,9 +456,91 @@ def mi_delta_log(spark, sf_dir):
     t = _table(spark, base)
     t.delete(base.where("o_orderkey % 4 = 0"), ["o_orderkey"])
     mirror.configure(t.folder, ["delta"])
-    path = mirror.mirror(t.folder, folder(spark))["delta"]
-    actions = [json.loads(x) for p, _, _ in t.folder.store.list(f"{path}/_delta_log") for x in t.folder.store.read_text(p).splitlines()]
-    return spark.read.parquet(*(f"{path}/{a['add']['path']}" for a in actions if "add" in a))
+    base_at = folder(spark)
+    mirror.mirror(t.folder, base_at)
+    t.delete(base.where("o_orderkey % 4 = 1"), ["o_orderkey"])
+    path = mirror.mirror(t.folder, base_at)["delta"]
+    actions = [json.loads(x) for p, _, _ in t.folder.store.list(f"{path}/_delta_log") if p.endswith(".json") for x in t.folder.store.read_text(p).splitlines()]
+    gone = {a["remove"]["path"] for a in actions if "remove" in a}
+    return spark.read.parquet(*(f"{path}/{a['add']['path']}" for a in actions if "add" in a and a["add"]["path"] not in gone))
+
+
+@register(f"SELECT * FROM ({BASE}) b WHERE b.o_orderkey % 4 <> 0")
+def mi_iceberg(spark, sf_dir):
+    """Rows of a mirrored table, read from the files that its manifests name."""
+    from ..sources import mirror
+    from ..sources.avro import read_container
+
+    base = _orders(spark, sf_dir)
+    t = _table(spark, base)
+    t.delete(base.where("o_orderkey % 4 = 0"), ["o_orderkey"])
+    mirror.configure(t.folder, ["iceberg"])
+    store, path = t.folder.store, mirror.mirror(t.folder, folder(spark))["iceberg"]
+    meta = store.read_json(f"{path}/metadata/v{store.read_text(f'{path}/metadata/version-hint.text')}.metadata.json")
+    _, manifests = read_container(store.read_bytes(meta["snapshots"][-1]["manifest-list"]))
+    return spark.read.parquet(*(e["data_file"]["file_path"] for m in manifests for e in read_container(store.read_bytes(m["manifest_path"]))[1]))
+
+
+@register(f"SELECT * FROM ({BASE}) b WHERE b.o_orderkey % 4 <> 0")
+def mi_parquet(spark, sf_dir):
+    """Mirrored by the commits themselves."""
+    from ..sources import mirror
+
+    base, base_at = _orders(spark, sf_dir), folder(spark)
+    t = new_lake(spark).table("t")
+    mirror.configure(t.folder, ["parquet"], base_at)
+    t.append(base)
+    t.delete(base.where("o_orderkey % 4 = 0"), ["o_orderkey"])
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{base_at}/parquet/t")
+
+
+# --- further forms of statements ---------------------------------------------------------------------------------
+
+
+def _sql(query: str, oracle: str, *tables: str, name: str, **how) -> None:
+    RUNS[name] = lambda spark, sf_dir: lake_of(spark, sf_dir, *tables).sql(query, **how)
+    SQL[name] = oracle
+
+
+_sql("SELECT o_orderkey, IIF(o_totalprice > 100000, 'big', 'small') AS size FROM orders", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'big' ELSE 'small' END AS size FROM orders", "orders", name="f_iif")
+_sql(
+    "SELECT o_orderkey, o_orderdate + INTERVAL '1 month' AS m, o_orderdate - INTERVAL '36 hours' AS h, CURRENT_DATE = CURRENT_DATE AS same FROM orders",
+    "SELECT o_orderkey, o_orderdate + INTERVAL '1 month' AS m, o_orderdate - INTERVAL '36 hours' AS h, CURRENT_DATE = CURRENT_DATE AS same FROM orders",
+    "orders",
+    name="f_interval",
+)
+_sql("SELECT o_orderkey FROM orders ORDER BY o_orderkey", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 25", "orders", name="s_auto_limit", limit=25)
+_sql("SELECT abs(approx_count_distinct(o_custkey) - count(DISTINCT o_custkey)) <= 0.1 * count(DISTINCT o_custkey) AS near FROM orders", "SELECT true AS near", "orders", name="a_approximate")
+
+
+@register("SELECT n_regionkey, string_agg(n_nationkey || ':' || n_name, ',' ORDER BY n_nationkey) AS names, max(n_nationkey) AS last FROM nation GROUP BY n_regionkey")
+def a_list_of_structs(spark, sf_dir):
+    found = lake_of(spark, sf_dir, "nation").sql("SELECT n_regionkey, list(named_struct('k', n_nationkey, 'name', n_name) ORDER BY n_nationkey) AS all_ FROM nation GROUP BY n_regionkey")
+    return found.select("n_regionkey", F.array_join(F.transform("all_", lambda x: F.concat_ws(":", x["k"].cast("string"), x["name"])), ",").alias("names"), F.element_at("all_", -1)["k"].alias("last"))
+
+
+@register("SELECT o_orderkey % 3 AS k, unnest([o_orderkey, o_custkey]) AS v FROM orders")
+def f_unnest(spark, sf_dir):
+    return lake_of(spark, sf_dir, "orders").sql("SELECT o_orderkey % 3 AS k, explode(array(o_orderkey, o_custkey)) AS v FROM orders")
+
+
+@register("SELECT count(*) AS rows FROM orders WHERE o_totalprice > 1000")
+def m_explain_analyze(spark, sf_dir):
+    return lake_of(spark, sf_dir, "orders").sql("EXPLAIN ANALYZE SELECT * FROM orders WHERE o_totalprice > 1000").select("rows")
+
+
+@register("SELECT n_nationkey, n_name, n_regionkey, kind FROM nation, (VALUES ('csv'), ('jsonl'), ('parquet'), ('orc')) k(kind)")
+def sc_loaders(spark, sf_dir):
+    from functools import reduce
+
+    from ..sources.files import load
+
+    base, at = _read(spark, sf_dir, "nation"), folder(spark)
+    base.write.option("header", True).csv(f"{at}/n.csv")
+    base.write.json(f"{at}/n.jsonl")
+    base.write.parquet(f"{at}/n.parquet")
+    base.write.orc(f"{at}/n.orc")
+    return reduce(DataFrame.unionByName, (load(spark, f"{at}/n.{kind}", base.schema).withColumn("kind", F.lit(kind)) for kind in ("csv", "jsonl", "parquet", "orc")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

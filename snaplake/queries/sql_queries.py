@@ -83,8 +83,8 @@ SQL = {
     "s_derived_table": "SELECT d.status, d.n FROM (SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY o_orderstatus) AS d WHERE d.n > 10",
     # scalar functions
     "f_string": "SELECT c_custkey, upper(c_name) AS u, lower(c_mktsegment) AS l, CAST(length(c_name) AS BIGINT) AS len, trim('  ' || c_mktsegment || ' ') AS t, concat(c_name, NULL, '!') AS c, substr(c_name, 3, 4) AS s, replace(c_name, '0', 'o') AS r FROM customer",
-    "f_math": "SELECT l_orderkey, l_linenumber, abs(l_discount - 0.05) AS a, round(sqrt(l_quantity), 6) AS s, round(power(l_quantity, 2), 4) AS p, round(log(l_quantity), 6) AS lg, round(log2(l_quantity), 6) AS l2, greatest(l_discount, l_tax) AS g, least(l_discount, l_tax) AS m, CAST(l_linenumber // 2 AS BIGINT) AS half FROM lineitem WHERE l_orderkey < 5000",
-    "f_date": "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(extract(year FROM o_orderdate) AS BIGINT) AS y, CAST(date_part('quarter', o_orderdate) AS BIGINT) AS q, CAST(extract(dow FROM o_orderdate) AS BIGINT) AS dow, strftime(o_orderdate, '%Y-%m-%d') AS d, o_orderdate + INTERVAL '7 days' AS week FROM orders WHERE o_orderkey < 5000",
+    "f_math": "SELECT l_orderkey, l_linenumber, abs(l_discount - 0.05) AS a, round(sqrt(l_quantity), 6) AS s, round(power(l_quantity, 2), 4) AS p, round(log(l_quantity), 6) AS lg, round(log2(l_quantity), 6) AS l2, greatest(l_discount, l_tax) AS g, least(l_discount, l_tax) AS m, CAST(l_linenumber // 2 AS BIGINT) AS half FROM lineitem",
+    "f_date": "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, CAST(extract(year FROM o_orderdate) AS BIGINT) AS y, CAST(date_part('quarter', o_orderdate) AS BIGINT) AS q, CAST(extract(dow FROM o_orderdate) AS BIGINT) AS dow, strftime(o_orderdate, '%Y-%m-%d') AS d, o_orderdate + INTERVAL '7 days' AS week FROM orders",
     "f_epoch": "SELECT event_id, round(epoch(ts), 3) AS seconds FROM events",
     "f_cast_try_cast": "SELECT o_orderkey, floor(o_totalprice)::BIGINT AS whole, CAST(o_totalprice AS DECIMAL(18, 2)) AS exact, TRY_CAST(o_orderstatus AS INTEGER) AS nothing, o_orderkey::VARCHAR AS s FROM orders",
     "f_regexp": "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '0+[1-3]$')",
