@@ -2,32 +2,41 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of the word-based contracts: runs of anything but space, \t, \n, \v, \f and \r.
 WORD_SEPARATORS = "[\\x20\\x09-\\x0D]+"
-#: Text that one step of a Python stage holds at a time, in characters.
-CHUNK_CHARS = 2_000_000
+#: Text that one step of a Python stage turns into Python strings at a time, in bytes, unless one document is longer.
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where that is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="snaplake-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where all run in one process (local tests)."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if not re.match(r"local(\[|$)", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="snaplake-shared-")
+    return _LOCAL[context.applicationId]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -56,29 +65,57 @@ def spread(*cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def text_chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list]]:
-    """(rows, their texts) so that each step holds about `most` characters, or one document if it is longer."""
+def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, list]]:
+    """(place of the first, values) of consecutive values of a string column, about `most` bytes at a time or one longer value."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(column):
+        before = int(upto[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(upto, before + most, side="right")))
+        yield start, column.slice(start, stop - start).to_pylist()
+        start = stop
+
+
+def text_chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """(rows, their texts) in steps of about `most` bytes of text, or one document if it is longer; the batch itself stays in Arrow buffers."""
     for batch in batches:
-        texts, start, size = batch.column(text).to_pylist(), 0, 0
-        for i, t in enumerate(texts):
-            size += len(t) if t else 0
-            if size >= most:
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-                start, size = i + 1, 0
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        for start, texts in chunks(batch.column(text), most):
+            yield batch.slice(start, len(texts)), texts
+
+
+class Generations(dict):
+    """Key -> make(key) in bounded memory: `weigh` says how many bytes a pair takes.
+
+    When `budget` bytes are held, the pairs become the old generation and those that are used again are carried over, so what is
+    common stays and what is held is twice the budget at most.
+    """
+
+    def __init__(self, make: Callable, weigh: Callable, budget: int = 24 << 20):
+        super().__init__()
+        self.make, self.weigh, self.budget, self.size, self.old = make, weigh, budget, 0, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self.size += self.weigh(key, found)
+        if self.size > self.budget:
+            self.old, self.size = dict(self), self.weigh(key, found)
+            self.clear()
+        self[key] = found
+        return found
 
 
 class TokenRows(dict):
     """Token -> row of a matrix of values that depend on the token alone.
 
-    Values of new tokens are computed together by `compute(list of tokens) -> [n, width]`.  When more than `limit`
-    tokens are held, all are forgotten, so memory stays bounded whatever the vocabulary of the corpus is.
+    Values of new tokens are computed together by `compute(list of tokens) -> [n, width]`, some 100,000 characters at a time.  When the
+    tokens and rows take more than `budget` bytes all are forgotten, so memory stays bounded whatever the vocabulary of the corpus is.
     """
 
-    def __init__(self, width: int, compute: Callable[[list[str]], np.ndarray], limit: int = 400_000):
+    def __init__(self, width: int, compute: Callable[[list[str]], np.ndarray], budget: int = 64 << 20):
         super().__init__()
-        self.width, self.compute, self.limit = width, compute, limit
+        self.width, self.compute, self.budget, self.size = width, compute, budget, 0
         self.values, self.new = np.zeros((1024, width)), []
 
     def __missing__(self, token: str) -> int:
@@ -88,13 +125,22 @@ class TokenRows(dict):
 
     def lookup(self, tokens: list[str]) -> np.ndarray:
         """Values of the tokens, [len(tokens), width]."""
-        if len(self) > self.limit:
+        if self.size > self.budget:
             self.clear()
+            self.size, self.values = 0, np.zeros((1024, self.width))
         ids = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
         if self.new:
-            while len(self) > len(self.values):
-                self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-            self.values[len(self) - len(self.new) : len(self)] = self.compute(self.new)
+            if len(self) > len(self.values):
+                more = np.zeros((max(2 * len(self.values), len(self)), self.width))
+                more[: len(self.values)] = self.values
+                self.values = more
+            at, start, held_ = len(self) - len(self.new), 0, 0
+            for i, token in enumerate(self.new):
+                held_ += len(token) + 1
+                self.size += 220 + 2 * len(token) + 8 * self.width
+                if held_ > 100_000 or i == len(self.new) - 1:
+                    self.values[at + start : at + i + 1] = self.compute(self.new[start : i + 1])
+                    start, held_ = i + 1, 0
             self.new = []
         return self.values[ids]
 
@@ -110,12 +156,16 @@ def sums_by_row(values: np.ndarray, counts: list[int]) -> np.ndarray:
     return out
 
 
-#: Models that a Python worker has unpacked, by the id their driver gave them; one of each kind is kept.
-_HELD: dict[str, tuple[str, object]] = {}
+#: The model that a Python worker has unpacked last, with the id its driver gave it.
+_HELD: dict[str, object] = {}
 
 
 def held(kind: str, key: str, make: Callable[[], object]) -> object:
-    """make(), kept between the tasks of one Python worker."""
-    if _HELD.get(kind, ("", None))[0] != key:
-        _HELD[kind] = (key, make())
-    return _HELD[kind][1]
+    """make(), kept between the tasks of one Python worker until another model is asked for: workers live on from stage to stage."""
+    name = f"{kind} {key}"
+    if name not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _HELD[name] = make()
+    return _HELD[name]

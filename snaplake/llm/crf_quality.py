@@ -5,23 +5,25 @@ one weight vector and a 2x2 transition table.  Forward-backward gives each line'
 these, weighted by the lines' lengths in characters, is the document's score.  Lines without a word don't take part.
 
 Learning: gradient ascent (Adam) on the conditional log-likelihood, where every line of a labelled document has the document's label, over
-a bounded sample: `sample_docs` whole documents for each label, drawn by a hash of the id.
+a bounded sample: `sample_docs` whole documents for each label, drawn by a hash of the id, and of these no more than have half of `sample_bytes`.
 
 Nulls and edge cases: null and empty texts, and texts without a word, have score 0.  Without labelled documents of both kinds every other score is
-0.5.  Null ids stay null and count as not held out.  Repeated rows have equal scores.
+0.5.  Null ids stay null and count as not held out.  Repeated rows have equal scores.  Texts may be of any length; one with very many lines
+takes a step of forward-backward for each.  An empty table gives an empty one.  Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from functools import reduce
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, learn_rows, spread, text_chunks
+from .common import chunks, held_out, learn_rows, spread
 
 #: Bytes counted for each line: symbols, bars, exclamation marks, digits, capital and small ASCII letters, sentence punctuation.
 CLASSES = (b"#*$%&<>{}[]\\^~_=+@", b"|", b"!", b"0123456789", bytes(range(65, 91)), bytes(range(97, 123)), b".,;:?")
@@ -151,17 +153,17 @@ def document_scores(texts: list[str | None], model: tuple[np.ndarray, np.ndarray
     return np.clip(out, 0, 1)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = 1500) -> tuple[np.ndarray, np.ndarray] | None:
+def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = 1500, sample_bytes: int = 16 << 20) -> tuple[np.ndarray, np.ndarray] | None:
     """A model from labels (doc_id, quality) and their texts; None unless both labels are there."""
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").where(learn_rows(F.col("doc_id")))
-    have = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(have) < 2:
-        return None
-    share = F.when(F.col("label") == 0, sample_docs / have[0]).otherwise(sample_docs / have[1])
-    picked = known.where(spread(F.col("doc_id"), F.lit("quality")) < share).limit(4 * sample_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("doc_id", "label").collect()
-    rows = [r for r in rows if r["text"] and r["text"].strip()]
-    return fit([r["text"] for r in rows], [r["label"] for r in rows]) if len({r["label"] for r in rows}) == 2 else None
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").where(learn_rows(F.col("doc_id"))).distinct()
+    draw = spread(F.col("doc_id"), F.lit("quality"))
+    picked = reduce(DataFrame.unionByName, (known.where(F.col("label") == y).orderBy(draw, "doc_id").limit(sample_docs) for y in (0, 1)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").where("text rlike '\\\\S'").distinct()
+    # the first by the draw, as far as the bytes go; a label's share of them is its own
+    upto = Window.partitionBy("label").orderBy(draw, "doc_id", "text")
+    fitting = rows.withColumn("upto", F.sum(F.octet_length("text")).over(upto)).where(F.col("upto") <= sample_bytes // 2)
+    got = fitting.select("text", "label").orderBy(draw, "doc_id", "label", "text").collect()
+    return fit([r["text"] for r in got], [r["label"] for r in got]) if len({r["label"] for r in got}) == 2 else None
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -169,10 +171,11 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataF
     model = learn(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in text_chunks(batches):
-            score = document_scores(texts, sent.value) if sent.value is not None else np.array([0.5 if t and t.split() else 0.0 for t in texts])
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
+    @F.arrow_udf("double")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            found = [document_scores(texts, sent.value) if sent.value is not None else np.array([0.5 if t and t.split() else 0.0 for t in texts]) for _, texts in chunks(column)]
+            yield pa.array(np.concatenate([np.zeros(0), *found]))
 
-    scored = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, score double")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), run(F.col("text").cast("string")).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
