@@ -1,41 +1,43 @@
 """Language identification by segmentation-marginalised unigrams.
 
-The letters of a text, lower-cased, form words (runs of letters, cut every WORD_CUT letters), each led by the space mark.
-For each language, pieces of a fixed public vocabulary have probabilities; the probability of a word is the sum, over all
-its segmentations into pieces, of the products of their probabilities (a forward algorithm).  As no piece spans words, a
-text's likelihood is the product over its words, and words are computed once per Python worker and batch.  The prediction is the
-language of the largest likelihood; the score is its posterior under a uniform prior.
+The letters of a text, lower-cased, form words (runs of letters), each led by the space mark.  For each language, pieces of a fixed
+public vocabulary have probabilities; the probability of a word is the sum, over all its segmentations into pieces, of the products of
+their probabilities (a forward algorithm; words of over LONG characters are read with scaling, so none is cut).  As no piece spans words, a
+text's likelihood is the product over its words, and words are computed once per Python worker while its cache holds them.  The
+prediction is the language of the largest likelihood; the score is its posterior under a uniform prior.
 
-Learning: expectation-maximisation of piece probabilities on word counts of a bounded sample of labelled documents
-(`sample_docs` whole documents per language, drawn by a hash of the id; of their distinct words the `sample_words` times
-the number of languages most frequent ones).
+Learning: expectation-maximisation of piece probabilities on word counts of a bounded sample of labelled documents: `sample_docs` whole
+documents per language, drawn by a hash of the id; of their distinct words the `sample_words` times the number of languages most
+frequent ones.  For learning alone, words are cut every LEARN_LETTERS letters, so the driver's memory is bounded as well.
 
 Nulls and edge cases: text null or without letters is `und`, score 0.  With no labelled document at all, everything is `und`.  Null ids
-stay null and count as not held out.  Ties go to the language that sorts first.
+stay null and count as not held out.  Ties go to the language that sorts first.  Repeated rows have equal results.  Texts and words may
+be of any length.  An empty table gives an empty one.  language_filter passes on all columns, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenRows, held, held_out, spread, sums_by_row, text_chunks
+from .common import TokenRows, chunks, held, held_out, spread, sums_by_row
 from .lattice import PieceTrie
 from .vocabulary import SPACE, load_pieces
 
-WORD_CUT = 32
+#: Words up to this length are summed many at a time in plain floats: PIECE_FLOOR to this power is still one.
+LONG, LEARN_LETTERS = 33, 256
 _RUN = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 
 
 def letter_words(text: str) -> list[str]:
-    return [SPACE + run[i : i + WORD_CUT] for run in _RUN.findall(text.lower()) for i in range(0, len(run), WORD_CUT)]
+    return [SPACE + run for run in _RUN.findall(text.lower())]
 
 
 def letter_pieces(path: str | None = None) -> list[str]:
@@ -52,8 +54,16 @@ class LanguageModel:
 
     def word_logs(self, words: list[str]) -> np.ndarray:
         """log of the summed probability of each word, [words, languages]."""
-        lattice = self.trie.edges(words)
-        return np.log(np.maximum(lattice.forward(self.p)[lattice.last], 1e-300))
+        out = np.zeros((len(words), len(self.languages)))
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        if short:
+            lattice = self.trie.edges([words[i] for i in short])
+            out[short] = np.log(lattice.forward(self.p)[lattice.last])
+        if len(short) < len(words):
+            for i, w in enumerate(words):
+                if len(w) > LONG:
+                    out[i] = self.trie.long_word(w, self.p)
+        return out
 
     def _token_values(self, tokens: list[str]) -> np.ndarray:
         """For white-space separated tokens: sums of their words' logs, and the number of words."""
@@ -87,9 +97,13 @@ def fit(counts: dict[str, dict[str, float]], pieces: list[str], rounds: int = 4)
     languages, trie = sorted(counts), PieceTrie(pieces)
     prior = np.array([0.02 ** (len(p) - 1) for p in trie.pieces] + [1e-4] * trie.n_blocks)
     p = np.tile(prior[:, None] / prior.sum(), (1, len(languages)))
-    lattices = [(trie.edges(list(c)), np.array(list(c.values()), float)) for c in (counts[name] for name in languages)]
+    words = [list(counts[name]) for name in languages]
+    weights = [np.array(list(counts[name].values()), float) for name in languages]
     for _ in range(rounds):
-        used = np.column_stack([lat.expected(p[:, [k]], w) for k, (lat, w) in enumerate(lattices)])
+        used = np.zeros_like(p)
+        for k in range(len(languages)):
+            for at in range(0, len(words[k]), 8192):  # lattices of all words at once would fill the driver
+                used[:, k] += trie.edges(words[k][at : at + 8192]).expected(p[:, [k]], weights[k][at : at + 8192])
         share = used / np.maximum(used.sum(axis=0), 1)
         p = 0.998 * share + 0.0019 * share.mean(axis=1, keepdims=True) + 0.0001 / len(p)
     return languages, p
@@ -102,50 +116,51 @@ def learn(docs: DataFrame, sample_docs: int = 400, sample_words: int = 60_000, t
     pieces = letter_pieces(tokenizer)
     if not have:
         return [], np.zeros((0, 0)), pieces
-    share = F.lit(0.0)
-    for lang, n in have.items():
-        share = F.when(F.col("lang") == lang, F.lit(sample_docs / n)).otherwise(share)
-    picked = labelled.where(spread(F.col("doc_id"), F.lit("language")) < share)
-    words = picked.select("lang", F.explode(F.split(F.lower("text"), "[^\\p{L}]+")).alias("word")).where("word <> ''")
-    counted = words.groupBy("lang", "word").count()
+    shares = F.create_map(*(F.lit(x) for lang, n in have.items() for x in (lang, sample_docs / n)))
+    picked = labelled.where(spread(F.col("doc_id"), F.lit("language")) < shares[F.col("lang")])
+    runs = picked.select("lang", F.explode(F.split(F.lower("text"), "[^\\p{L}]+")).alias("word")).where("word <> ''")
+    counted = runs.groupBy("lang", "word").count().orderBy(F.desc("count"), "word", "lang").limit(sample_words * len(have)).toArrow()
     counts: dict[str, dict[str, float]] = {}
-    for r in counted.orderBy(F.desc("count"), "word", "lang").limit(sample_words * len(have)).collect():
-        counts.setdefault(r["lang"], {})[r["word"]] = r["count"]
-    folded: dict[str, dict[str, float]] = {}
-    for lang, c in counts.items():
-        mine = folded.setdefault(lang, {})
-        for word, n in c.items():
+    for batch in counted.to_batches(8192):
+        for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            mine = counts.setdefault(lang, {})
             for w in letter_words(word):
-                mine[w] = mine.get(w, 0) + n
-    languages, p = fit({lang: c for lang, c in folded.items() if c}, pieces) if any(folded.values()) else ([], np.zeros((0, 0)))
+                for at in range(0, len(w), LEARN_LETTERS):
+                    part = w[at : at + LEARN_LETTERS]
+                    mine[part] = mine.get(part, 0) + n
+    counts = {lang: c for lang, c in counts.items() if c}
+    languages, p = fit(counts, pieces) if counts else ([], np.zeros((0, 0)))
     return languages, p, pieces
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, list[str]], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs (text, ...) with the prediction and its score added under `names`; columns of these names are replaced."""
+def identified(docs: DataFrame, model: tuple[list[str], np.ndarray, list[str]]) -> Column:
+    """Struct (lang_pred, score) of column text of docs; only the text goes through Python."""
     languages, p, pieces = model
-    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in names))
-    added = docs.select("*", F.lit(UNDETERMINED).alias(names[0]), F.lit(0.0).alias(names[1]))
     if not languages:
-        return added
+        return F.struct(F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
     key, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((languages, p, pieces))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         mine = held("language", key, lambda: LanguageModel(sent.value[0], sent.value[1], PieceTrie(sent.value[2])))
-        for rows, texts in text_chunks(batches):
-            named, score, _ = mine.scores(texts)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(named, pa.string()), pa.array(score, pa.float64())], [*rows.schema.names, *names])
+        for column in columns:
+            named, score = [], []
+            for _, texts in chunks(column):
+                found = mine.scores(texts)
+                named += found[0]
+                score += found[1]
+            yield pa.StructArray.from_arrays([pa.array(named, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
-    return docs.mapInArrow(run, added.schema)
+    return run(F.col("text").cast("string"))
 
 
 def language_id(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each row of docs (doc_id, text, lang); learned from its own labelled rows."""
-    found = identify(docs.select("doc_id", "text"), learn(docs, tokenizer=tokenizer))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    found = docs.select("doc_id", identified(docs, learn(docs, tokenizer=tokenizer)).alias("found"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "found.lang_pred", "found.score")
 
 
 def language_filter(docs: DataFrame, least: float = 0.5, tokenizer: str | None = None) -> DataFrame:
     """Rows of docs whose language is determined with a score of at least `least`; columns stay as they are."""
-    found = identify(docs, learn(docs, tokenizer=tokenizer), ("_language_", "_language_score_"))
-    return found.where((F.col("_language_") != UNDETERMINED) & (F.col("_language_score_") >= least)).select(*(f"`{c}`" for c in docs.columns))
+    found = identified(docs, learn(docs, tokenizer=tokenizer))
+    return docs.where((found["lang_pred"] != UNDETERMINED) & (found["score"] >= least))
