@@ -1,20 +1,23 @@
 """Toxicity: distance-weighted votes of the nearest labelled examples, found by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are runs of letters and digits, lower-cased.  The features are terms that go with the label in the learning sample:
-those whose log-likelihood ratio (in documents; fit for rare terms too) is at least `ratio` and whose documents are
-toxic `lift` times as often as all are, the `terms` strongest of them.
-An example's vector has (1 + ln count) * ln(1 + documents / documents with the term), at length 1.
+Terms are the first STEM characters of runs of letters and digits, lower-cased; all terms of the examples are used, whatever their labels.
+An example's vector has (1 + ln count) * ln(1 + examples / examples with the term), at length 1; so has a text's, over the terms that an example has.
 
-Index: examples lie in blocks of BLOCK, alike ones together; for each term it has the blocks where it occurs, its largest
-weight in each, and its postings there.  A query adds up the blocks' bounds, takes blocks in falling order of their bounds and stops as
-soon as none can reach the k-th best, so results equal those of a full scan; ties go to the earlier example.
+Index: examples lie in blocks of BLOCK, alike ones together (halved again and again along the main axis of their common terms).  For
+each term it has the blocks where it occurs, its largest weight in each, and its postings there.  A query adds up the blocks' bounds, takes blocks
+in falling order of their bounds, a few at first and twice as many each time, and stops as soon as none can reach the k-th best, so results equal
+those of a full scan; ties go to the example with the smaller doc_id.
 
-Score: votes weigh 1 / (0.05 + distance); an isotonic curve, fitted to leave-one-out votes of the examples, turns them
-into probabilities.  A text without any feature has the share of toxic ones among such examples.  Evidence are the nearest
-examples and the features found.
+Score: the NEAREST examples vote with weights 1 / (0.05 + distance); an isotonic curve, fitted to the votes that examples get from the
+others, turns votes into probabilities.  A text with terms, but none that an example has, scores the examples' share of toxic ones.  Evidence
+are the nearest examples with their similarities and labels.
 
-Learning: about `examples` labelled documents, drawn by a hash of the id; of near copies among them one is used.  Nulls and edge cases: null and empty texts have no feature;
-without any labelled document the score is 0; null ids stay null and count as not held out.
+Learning: `examples` labelled documents at most, the first by a hash of the id, and of these no more than have `postings` terms in all; of near copies
+one is used.
+
+Nulls and edge cases: null and empty texts and texts without a letter or digit score 0 and have no evidence; without any labelled document every score is
+0; null ids stay null and count as not held out.  Repeated rows have equal results.  Texts may be of any length.  An empty table gives an empty
+one.  Other columns of the tables aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,68 +30,105 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, held_out, learn_rows, materialize, spread, text_chunks
+from .common import Generations, chunks, held, held_out, learn_rows, materialize, spread, text_chunks
 from .simhash import fingerprint
 
-NEAREST, BLOCK, EVIDENCE = 25, 64, 5
+NEAREST, BLOCK, EVIDENCE, STEM = 50, 64, 5, 4
 _TERM = re.compile(r"[^\W_]+")
 
 
 def terms_of(text: str | None) -> Counter:
-    return Counter(_TERM.findall(text.lower())) if text else Counter()
+    return Counter(t[:STEM] for t in _TERM.findall(text.lower())) if text else Counter()
+
+
+def ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places from each start up to its stop, one range after the other, and the ranges' lengths."""
+    size = stop - start
+    shift = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) if len(size) else start
+    return np.arange(len(shift)) + shift, size
+
+
+def alike_together(example: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int) -> np.ndarray:
+    """An order of the examples: halved along the main axis of their weights of the 256 commonest terms until a part fits a block."""
+    df = np.bincount(term, minlength=n_terms)
+    common = np.argsort(-df, kind="stable")[:256]
+    column = np.full(n_terms, -1)
+    column[common] = np.arange(len(common))
+    dense, use = np.zeros((n, max(1, len(common)))), column[term] >= 0
+    dense[example[use], column[term[use]]] = weight[use]
+    parts, done = [np.arange(n)], []
+    while parts:
+        part = parts.pop()
+        if len(part) <= BLOCK:
+            done.append(part)
+            continue
+        rows = dense[part] - dense[part].mean(axis=0)
+        axis = np.linalg.eigh(rows.T @ rows)[1][:, -1]
+        axis *= np.sign(axis[np.abs(axis).argmax()]) or 1.0
+        part = part[np.argsort(np.round(rows @ axis, 9), kind="stable")]
+        middle = BLOCK * max(1, round(len(part) / BLOCK / 2))
+        parts += [part[middle:], part[:middle]]
+    return np.concatenate(done) if done else np.zeros(0, np.int64)
 
 
 class BlockMaxIndex:
-    """Exact top-k by inner product over sparse vectors of length 1."""
-
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int):
-        # examples with the same strongest term lie together, so blocks have few terms and low bounds for the others
-        self.order = sorted(range(len(vectors)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], -t), default=-1), i))
-        self.n, self.n_blocks = len(vectors), -(-len(vectors) // BLOCK)
-        postings: list[dict[int, list[tuple[int, float]]]] = [{} for _ in range(n_terms)]
-        for place, i in enumerate(self.order):
-            for t, w in vectors[i].items():
-                postings[t].setdefault(place // BLOCK, []).append((place % BLOCK, w))
-        #: For each term: its blocks, their largest weights, and block -> (places in it, weights).
-        self.blocks = [np.fromiter(p, np.int64, len(p)) for p in postings]
-        self.most = [np.array([max(w for _, w in x) for x in p.values()]) for p in postings]
-        self.lists = [{b: (np.array([i for i, _ in x]), np.array([w for _, w in x])) for b, x in p.items()} for p in postings]
-        self.example = np.array(self.order, np.int64)
-
-    def top(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """The k best (similarity, example) with similarity over 0, best first; `skip` is left out."""
-        bound = np.zeros(self.n_blocks)
-        for t, q in query.items():
-            bound[self.blocks[t]] += q * self.most[t]
-        best: list[tuple[float, int]] = []
+    """Exact top-k by inner product over sparse vectors of length 1, given as entries (example, term, weight)."""
+
+    def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int):
+        #: The example at each place.
+        self.order = alike_together(example, term, weight, n, n_terms)
+        self.n, self.n_blocks = n, -(-n // BLOCK)
+        place = np.empty(n, np.int64)
+        place[self.order] = np.arange(n)
+        at = place[example]
+        by = np.lexsort((at, term))
+        term, at = term[by], at[by]
+        self.place, self.weight = at.astype(np.int32), weight[by]
+        block = at // BLOCK
+        heads = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(by) else np.zeros(0, np.int64)
+        #: Entry (term, block): its postings, block and largest weight; and each term's entries.
+        self.posting = np.append(heads, len(by))
+        self.block = block[heads]
+        self.most = np.maximum.reduceat(self.weight, heads) if len(by) else np.zeros(0)
+        self.entry = np.searchsorted(term[heads], np.arange(n_terms + 1))
+
+    def top(self, terms: np.ndarray, values: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
+        """(similarities, examples) of the k best over 0, best first, without example `skip`; and how many blocks were scored."""
+        entries, size = ranges(self.entry[terms], self.entry[terms + 1])
+        value, block = np.repeat(values, size), self.block[entries]
+        bound = np.bincount(block, value * self.most[entries], minlength=self.n_blocks)
         order = np.argsort(-bound, kind="stable")
-        for b in order[: int((bound > 0).sum())].tolist():
-            least = -best[-1][0] if len(best) == k else 0.0
-            if bound[b] < least - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, q in query.items():
-                if (hit := self.lists[t].get(b)) is not None:
-                    score[hit[0]] += q * hit[1]
-            places = np.flatnonzero((score > 0) & (score >= least - 1e-9))
-            if len(places):
-                found = zip((-np.round(score[places], 12)).tolist(), self.example[b * BLOCK + places].tolist(), strict=True)
-                best = sorted([*best, *(x for x in found if x[1] != skip)])[:k]
-        return [(-s, i) for s, i in best]
-
-
-def vector(counts: dict[int, int], idf: list[float]) -> dict[int, float]:
-    raw = {t: (1 + math.log(n)) * idf[t] for t, n in sorted(counts.items())}
-    norm = math.sqrt(sum(w * w for w in raw.values()))
-    return {t: w / norm for t, w in raw.items()}
-
-
-def vote(near: list[tuple[float, int]], labels: list[int]) -> float:
-    weights = [1 / (0.05 + math.sqrt(max(0.0, 2 - 2 * s))) for s, _ in near]
-    return sum(w * labels[i] for w, (_, i) in zip(weights, near, strict=True)) / sum(weights)
+        order = order[bound[order] > 0]
+        found, score = np.zeros(0, np.int64), np.zeros(0)
+        at, step, least = 0, -(-(k + 1) // BLOCK) + 1, 0.0
+        while at < len(order) and bound[order[at]] >= least - 1e-9:
+            taken = np.zeros(self.n_blocks, bool)
+            taken[order[at : at + step]] = True
+            taken &= bound >= least - 1e-9
+            use = taken[block]
+            chosen = entries[use]
+            postings, size = ranges(self.posting[chosen], self.posting[chosen + 1])
+            sums = np.bincount(self.place[postings], np.repeat(value[use], size) * self.weight[postings], minlength=self.n)
+            places = np.flatnonzero(sums > max(0.0, least - 1e-9))
+            found, score = np.concatenate([found, self.order[places]]), np.concatenate([score, np.round(sums[places], 12)])
+            if skip >= 0:
+                score, found = score[found != skip], found[found != skip]
+            if len(score) > k:
+                best = np.lexsort((found, -score))[:k]
+                score, found = score[best], found[best]
+                least = float(score[-1])
+            at, step = at + step, step * 2
+        best = np.lexsort((found, -score))
+        return score[best], found[best], min(at, len(order))
+
+
+def vote(similarity: np.ndarray, labels: np.ndarray) -> float:
+    weights = 1 / (0.05 + np.sqrt(np.maximum(0.0, 2 - 2 * similarity)))
+    return float((weights * labels).sum() / weights.sum())
 
 
 def isotonic(x: list[float], y: list[int]) -> tuple[list[float], list[float]]:
@@ -103,52 +143,50 @@ def isotonic(x: list[float], y: list[int]) -> tuple[list[float], list[float]]:
 
 
 class Voter:
-    """The labelled examples with their index and calibration."""
+    """The labelled examples (ids in rising order, labels) with their terms, as entries (example, term, count), and the calibration's knots."""
 
-    def __init__(self, terms: list[str], idf: list[float], examples: list[tuple[int, int, dict[int, int]]], bare: tuple[int, int], knots: tuple | None = None):
-        self.terms, self.idf = terms, idf
+    def __init__(self, terms: list[str], ids: np.ndarray, labels: np.ndarray, entries: tuple[np.ndarray, np.ndarray, np.ndarray], knots: tuple | None = None):
+        example, term, count = entries
+        self.terms, self.ids, self.labels, self.knots = terms, ids, labels, knots
         self.number = {t: i for i, t in enumerate(terms)}
-        self.ids, self.labels = [e[0] for e in examples], [e[1] for e in examples]
-        vectors = [vector(e[2], idf) for e in examples]
-        self.index = BlockMaxIndex(vectors, len(terms))
-        #: Score of texts without any feature: share of toxic among (toxic, all) such examples.
-        self.bare = (bare[0] + 0.5 * (bare[1] == 0)) / max(1, bare[1])
-        if knots is None:  # the driver fits the curve and sends it along
-            loo = [(vote(near, self.labels), self.labels[i]) for i, v in enumerate(vectors) if (near := self.index.top(v, NEAREST, i))]
-            knots = isotonic([a for a, _ in loo], [b for _, b in loo])
-        self.knots = knots
-        self.tokens: dict[str, tuple[int, ...]] = {}
-        self.known: dict[tuple, tuple] = {}
-
-    def features(self, text: str | None) -> dict[int, int]:
-        """Features of a text with their counts.  White-space tokens are cut into terms once and kept, in a bounded cache."""
-        if not text:
-            return {}
-        if len(self.tokens) > 500_000:
-            self.tokens.clear()
-        words, tokens = Counter(text.split()), self.tokens
-        out: dict[int, int] = {}
-        for w, n in words.items():
-            hit = tokens.get(w)
-            if hit is None:
-                hit = tokens[w] = tuple(self.number[t] for t in _TERM.findall(w.lower()) if t in self.number)
-            for t in hit:
-                out[t] = out.get(t, 0) + n
-        return out
-
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, float, int]], list[str]]:
-        """(probability, [(example's id, similarity, label)], features found)."""
-        found = self.features(text)
-        if not found:
-            return self.bare, [], []
-        key = tuple(sorted(found.items()))
-        if (hit := self.known.get(key)) is None:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            near = self.index.top(vector(found, self.idf), NEAREST)
-            p = float(np.interp(vote(near, self.labels), *self.knots)) if near else self.bare
-            hit = self.known[key] = (p, [(self.ids[i], s, self.labels[i]) for s, i in near[:EVIDENCE]], [self.terms[t] for t, _ in key])
-        return hit
+        self.idf = np.log(1 + len(ids) / np.maximum(1, np.bincount(term, minlength=len(terms))))
+        weight = (1 + np.log(count)) * self.idf[term]
+        weight /= np.sqrt(np.bincount(example, weight * weight, minlength=len(ids)))[example]
+        self.entries = example, term, weight
+        self.index = BlockMaxIndex(example, term, weight, len(ids), len(terms))
+        self.share = float(labels.mean()) if len(labels) else 0.0
+        self.tokens = Generations(self._numbers, lambda token, found: 180 + 2 * len(token) + 8 * len(found))
+
+    def _numbers(self, token: str) -> tuple[int, ...]:
+        """Numbers of the terms of a white-space token; -1 for a term that no example has."""
+        return tuple(self.number.get(t[:STEM], -1) for t in _TERM.findall(token.lower()))
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+        """(terms, weights) of a text at length 1; None for a text without terms."""
+        counts: dict[int, int] = {}
+        for token, n in Counter((text or "").split()).items():
+            for t in self.tokens[token]:
+                counts[t] = counts.get(t, 0) + n
+        if not counts:
+            return None
+        counts.pop(-1, None)
+        terms = np.sort(np.fromiter(counts, np.int64, len(counts)))
+        values = (1 + np.log(np.array([counts[t] for t in terms.tolist()], float))) * self.idf[terms]
+        return terms, values / np.sqrt((values * values).sum()) if len(values) else values
+
+    def nearest(self, text: str | None, skip: int = -1) -> tuple[np.ndarray, np.ndarray] | None:
+        made = self.vector(text)
+        return None if made is None else self.index.top(*made, NEAREST, skip)[:2]
+
+    def score(self, text: str | None) -> tuple[float, list[tuple[int, float, int]]]:
+        """(probability, [(example's id, similarity, label)])."""
+        near = self.nearest(text)
+        if near is None:
+            return 0.0, []
+        if not len(near[0]):
+            return self.share, []
+        p = float(np.interp(vote(near[0], self.labels[near[1]]), *self.knots))
+        return p, [(int(self.ids[i]), float(s), int(self.labels[i])) for s, i in zip(near[0][:EVIDENCE], near[1][:EVIDENCE], strict=True)]
 
 
 def first_of_alike(prints: np.ndarray, sizes: np.ndarray, bits: int = 12, least: int = 10) -> list[int]:
@@ -162,67 +200,71 @@ def first_of_alike(prints: np.ndarray, sizes: np.ndarray, bits: int = 12, least:
     return kept
 
 
-def learn(docs: DataFrame, labels: DataFrame, examples: int = 16_000, terms: int = 2000, ratio: float = 24.0, lift: float = 3.0) -> tuple | None:
+def learn(docs: DataFrame, labels: DataFrame, examples: int = 8_000, postings: int = 4_000_000) -> tuple | None:
     """Arguments of a Voter from labels (doc_id, toxic) and their texts; None without any."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").where(learn_rows(F.col("doc_id"))).distinct()
-    n = known.count()
-    if not n:
-        return None
-    picked = known.where(spread(F.col("doc_id"), F.lit("toxic")) < examples / n).limit(2 * examples)
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").where(learn_rows(F.col("doc_id"))).distinct()
+    draw = spread(F.col("doc_id"), F.lit("toxic"))
+    picked = known.orderBy(draw, "doc_id", "label").limit(examples)
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in text_chunks(batches):
             found = [terms_of(t) for t in texts]
             prints = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("label"), pa.array(prints), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], ["doc_id", "label", "fp", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("label"), pa.array(prints), rows.column("text"), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], ["doc_id", "label", "fp", "text", "terms", "counts"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    sample = materialize(rows.mapInArrow(cut, "doc_id long, label int, fp long, terms array<string>, counts array<long>"), "toxic-sample")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").distinct()
+    sample = materialize(rows.mapInArrow(cut, "doc_id long, label int, fp long, text string, terms array<string>, counts array<long>"), "toxic-sample")
     # copies of one document must not lend it the weight of many: of examples with alike texts, the first one stays
-    seen = sample.select("doc_id", "fp", F.size("terms").alias("n")).orderBy("doc_id").collect()
-    alone = first_of_alike(np.array([r["fp"] for r in seen], np.int64).view(np.uint64), np.array([r["n"] for r in seen]))
-    ids = docs.sparkSession.createDataFrame([(seen[i]["doc_id"],) for i in alone], "doc_id long")
-    sample = sample.join(F.broadcast(ids), "doc_id", "left_semi")
-    size = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    bad, all_ = size.get(1, 0), sum(size.values())
-    if not all_:
+    seen = sample.select("doc_id", "label", "fp", F.size("terms").alias("n")).where("n > 0").orderBy(draw, "doc_id", "label", "fp").toArrow()
+    alone = np.array(first_of_alike(seen.column("fp").to_numpy().view(np.uint64), seen.column("n").to_numpy()), np.int64)
+    alone = alone[np.cumsum(seen.column("n").to_numpy()[alone]) <= postings]
+    kept = docs.sparkSession.createDataFrame([tuple(r.values()) for r in seen.take(alone).select(["doc_id", "label", "fp"]).to_pylist()], "doc_id long, label int, fp long")
+    sample = sample.where(F.size("terms") > 0).join(F.broadcast(kept), ["doc_id", "label", "fp"], "left_semi")
+    got = sample.select("doc_id", "label", "terms", "counts").orderBy("doc_id", "label", "fp").toArrow().combine_chunks()
+    if not got.num_rows:
         return None
-    each = sample.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("label").alias("toxic"))
-    a, m, big = F.col("toxic").cast("double"), F.col("df").cast("double"), float(all_)
-
-    def part(seen, expected):
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-
-    b_, rest = m - a, big - m
-    strength = 2 * (part(a, m * bad / big) + part(b_, m * (big - bad) / big) + part(bad - a, rest * bad / big) + part(big - bad - b_, rest * (big - bad) / big))
-    chosen = each.withColumn("strength", strength).where((F.col("strength") >= ratio) & (a * big > lift * m * bad)).orderBy(F.desc("strength"), "term").limit(terms).collect()
-    names = [r["term"] for r in chosen]
-    idf = [math.log(1 + all_ / r["df"]) for r in chosen]
-    number = {t: i for i, t in enumerate(names)}
-    kept = sample.select("doc_id", "label", F.filter(F.arrays_zip("terms", "counts"), lambda x: x["terms"].isin(names)).alias("found")) if names else sample.select("doc_id", "label", F.array().alias("found"))
-    vectors, bare = [], [0, 0]
-    for r in kept.orderBy("doc_id", "label").collect():
-        if r["found"]:
-            vectors.append((r["doc_id"], r["label"], {number[x["terms"]]: x["counts"] for x in r["found"]}))
-        else:
-            bare = [bare[0] + r["label"], bare[1] + 1]
-    model = (names, idf, vectors, tuple(bare))
-    return (*model, Voter(*model).knots)
+    terms = got.column("terms").combine_chunks()
+    example = np.repeat(np.arange(got.num_rows), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+    coded = terms.flatten().dictionary_encode()
+    # terms are numbered in their own order, so that results don't depend on how rows came
+    names = coded.dictionary.to_pylist()
+    rank = np.empty(len(names), np.int64)
+    rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+    entries = example, rank[coded.indices.to_numpy()], got.column("counts").combine_chunks().flatten().to_numpy().astype(float)
+    model = (sorted(names), got.column("doc_id").to_numpy(), got.column("label").to_numpy().astype(np.int64), entries)
+    key, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
+
+    def others(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = held("toxicity-examples", key, lambda: Voter(*sent.value))
+        for rows, texts in text_chunks(batches):
+            places = np.searchsorted(mine.ids, rows.column("doc_id").to_numpy()).tolist()
+            near = [mine.nearest(t, i) for t, i in zip(texts, places, strict=True)]
+            votes = [vote(x[0], mine.labels[x[1]]) if x is not None and len(x[0]) else None for x in near]
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), rows.column("label")], ["vote", "label"])
+
+    votes = sample.select("doc_id", "label", "text").repartition(64).mapInArrow(others, "vote double, label int").where("vote is not null").orderBy("vote", "label").collect()
+    return (*model, isotonic([r["vote"] for r in votes], [r["label"] for r in votes]))
 
 
 _NEAR = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted (1 from `threshold` on), evidence (nearest examples) and features of each row of docs."""
-    sent, key = docs.sparkSession.sparkContext.broadcast(learn(docs, labels)), uuid.uuid4().hex
+    """doc_id, held_out, score, predicted (1 from `threshold` on) and evidence (the nearest examples) of each row of docs."""
+    model = learn(docs, labels)
+    key, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<score: double, evidence: array<struct<doc_id: bigint, similarity: double, toxic: int>>>")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         mine = held("toxicity", key, lambda: Voter(*sent.value)) if sent.value is not None else None
-        for rows, texts in text_chunks(batches):
-            score, near, terms = zip(*(mine.score(t) if mine else (0.0, [], []) for t in texts), strict=True)
-            evidence = [[{"doc_id": i, "similarity": s, "toxic": y} for i, s, y in x] for x in near]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(score, pa.float64()), pa.array(evidence, _NEAR), pa.array(terms, pa.list_(pa.string()))], ["doc_id", "score", "evidence", "features"])
-
-    scored = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id: bigint, similarity: double, toxic: int>>, features array<string>")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence", "features")
+        for column in columns:
+            score, near = [], []
+            for _, texts in chunks(column):
+                for t in texts:
+                    p, found = mine.score(t) if mine else (0.0, [])
+                    score.append(p)
+                    near.append([{"doc_id": i, "similarity": s, "toxic": y} for i, s, y in found])
+            yield pa.StructArray.from_arrays([pa.array(score, pa.float64()), pa.array(near, _NEAR)], ["score", "evidence"])
+
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), run(F.col("text").cast("string")).alias("found"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "found.score", (F.col("found.score") >= threshold).cast("int").alias("predicted"), "found.evidence")
