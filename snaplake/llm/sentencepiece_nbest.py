@@ -1,16 +1,18 @@
 """SentencePiece encoding with N-best segmentations, and decoding.
 
 One space is put before a text, as SentencePiece does; then the text is cut into units: runs of letters and runs of other
-characters, each with the space before it, if any, as its mark, and line feeds and further spaces alone.  Within a unit, pieces of a fixed public vocabulary form a lattice;
-a character that no piece covers is spelled in byte pieces, and so is a literal space mark, so decoding gives back every
+characters, each with the spaces before it, spaces at the end of a line, and line feeds.  Where a piece of the model goes from one unit to the next,
+units are put together again, so no piece spans two of them and nothing is lost by the cuts.  Within a unit, all pieces of a fixed public vocabulary
+form a lattice; a character that no piece covers is spelled in byte pieces, and so is a literal space mark, so decoding gives back every
 text exactly.  A piece's score is the log of a Zipf probability of its merge rank in the model file.
 
 N-best: a forward Viterbi pass gives each node the best score from the start; these are exact heuristics for an A* search backward from
-the end, so segmentations leave the queue in the order of their scores (ties: found first).  No piece spans units, so a document's
+the end, so segmentations leave the queue in the order of their scores (ties: found first).  As no piece spans units, a document's
 N-best list combines its units' lists: only the N-1 units whose second choice costs least can differ from their best.
 
-Nulls and edge cases: a null text has no ids (null) and is skipped by decoding; an empty text has no ids (empty list).  Units are computed
-once per Python worker and kept in a bounded cache; a long unit costs time in proportion to its length.
+Nulls and edge cases: a null text has no ids (null) and is skipped by decoding; an empty text has no ids (empty list).  Repeated rows have equal
+results.  Units are computed once per Python worker while a cache of bounded size holds them; a long unit costs time in proportion to its
+length, and of its lattice only one number for each node is held.  An empty table gives an empty one.  Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,46 +22,37 @@ import itertools
 import math
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, text_chunks
+from .common import Generations, held, text_chunks
 from .vocabulary import MODEL, SPACE, TOKENIZERS
 
 BYTE_SCORE, RANK_SHIFT = -16.0, 10.0
+#: Units of more characters keep no edges of their lattice.
+LONG_UNIT = 1024
 
-
-_UNITS = re.compile(r" ?[^\W\d_]+| ?(?:[^\w \n]|[\d_])+|\n| ")
-
-
-class _Cache(dict):
-    """Unit -> (ids of its best segmentation as int32 bytes, its score, what the second one costs)."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, unit: str) -> tuple[bytes, float, float]:
-        self[unit] = made = self.make(unit)
-        return made
+_UNITS = re.compile(r" *[^\W\d_]+| *(?:[^\w \n]|[\d_])+|\n| +")
 
 
 class NBest:
     """Encoder and decoder over one model file; n segmentations for each unit.  A unit's space mark is held as a plain space."""
 
-    def __init__(self, n: int = 4, path: str | None = None, limit: int = 1_200_000):
+    def __init__(self, n: int = 4, path: str | None = None, cache_bytes: int = 80 << 20):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path or f"{TOKENIZERS}/{MODEL}")
         size = model.get_piece_size()
-        self.n, self.limit = n, limit
+        self.n = n
         self.raw: list[bytes] = [b""] * size
         self.byte: list[int] = [0] * 256
-        #: Nested dicts by character; a piece's (score, ids) lies under "".
+        #: Piece -> (score, ids); and the same as nested dicts by character, with the pair under "".
+        self.pieces: dict[str, tuple[float, tuple[int, ...]]] = {}
         self.trie: dict = {}
         for i in range(size):
             piece = model.id_to_piece(i)
@@ -69,15 +62,36 @@ class NBest:
             elif not model.is_control(i) and not model.is_unknown(i):
                 piece = piece.replace(SPACE, " ")
                 self.raw[i] = piece.encode()
-                if " " not in piece[1:]:
-                    node = self.trie
-                    for ch in piece:
-                        node = node.setdefault(ch, {})
-                    node[""] = (-math.log(RANK_SHIFT - model.get_score(i)), (i,))
-        self.units = _Cache(self._unit)
+                self.pieces[piece] = (-math.log(RANK_SHIFT - model.get_score(i)), (i,))
+                node = self.trie
+                for ch in piece:
+                    node = node.setdefault(ch, {})
+                node[""] = self.pieces[piece]
+        self.longest = max(map(len, self.pieces))
+        #: Neighbouring characters where _UNITS cuts and a piece goes on.
+        self.crossing = sorted({a[-1] + b[0] for p in self.pieces for a, b in itertools.pairwise(_UNITS.findall(p))})
+        # a unit's ids as int32 bytes, its score, and what its second choice costs
+        self.units = Generations(self._unit, lambda unit, made: 300 + 2 * len(unit) + len(made[0]), cache_bytes)
         #: Ranks that the n best combinations of n-1 lists can have: one that has more than n combinations at or before it isn't among them.
         self.ranks = [r for r in itertools.product(range(n), repeat=n - 1) if math.prod(x + 1 for x in r) <= n]
 
+    def split(self, text: str) -> list[str]:
+        """The units of a text, with its leading space."""
+        units = _UNITS.findall(" " + text)
+        if any(x in text for x in self.crossing):
+            joined = units[:1]
+            for u in units[1:]:
+                if joined[-1][-1] + u[0] in self.crossing:
+                    joined[-1] += u
+                else:
+                    joined.append(u)
+            return joined
+        return units
+
+    def _spelled(self, ch: str) -> tuple[float, tuple[int, ...]]:
+        ids = tuple([self.byte[b] for b in ch.encode("utf-8", "surrogatepass")])
+        return BYTE_SCORE * len(ids), ids
+
     def forward(self, unit: str) -> tuple[list[list[tuple]], float]:
         """Edges that end at each node, as (best score through it, from, score, ids), and the best score of the last node."""
         n, root = len(unit), self.trie
@@ -88,8 +102,8 @@ class NBest:
                 base = max(into[i])[0]
             node = root.get(unit[i])
             if node is None or "" not in node:
-                spelled = tuple([self.byte[b] for b in unit[i].encode("utf-8", "surrogatepass")])
-                into[i + 1].append((base + BYTE_SCORE * len(spelled), i, BYTE_SCORE * len(spelled), spelled))
+                s, ids = self._spelled(unit[i])
+                into[i + 1].append((base + s, i, s, ids))
             j = i
             while node is not None:
                 j += 1
@@ -101,28 +115,57 @@ class NBest:
                 node = node.get(unit[j])
         return into, max(into[n])[0]
 
+    def forward_long(self, unit: str) -> tuple[Callable[[int], list[tuple]], float]:
+        """As forward, but holding the best score of each node alone; edges are made when they are asked for, best first."""
+        best = array("d", [0.0])
+
+        def edges(j: int) -> list[tuple]:
+            out = []
+            for i in range(max(0, j - self.longest), j):
+                if (hit := self.pieces.get(unit[i:j])) is not None:
+                    out.append((best[i] + hit[0], i, *hit))
+            if unit[j - 1] not in self.pieces:
+                s, ids = self._spelled(unit[j - 1])
+                out.append((best[j - 1] + s, j - 1, s, ids))
+            out.sort(reverse=True)
+            return out
+
+        for j in range(1, len(unit) + 1):
+            best.append(edges(j)[0][0])
+        return edges, best[-1]
+
     def search(self, unit: str, most: int | None = None) -> list[tuple[float, tuple[int, ...]]]:
         """The `most` (n) best segmentations of a unit, best first, as (score, ids).
 
         An entry of the queue is an edge into a node with what comes after it; its cost is exact, as the forward pass has the
-        best score of all before.  Edges of a node are taken in their order, so an entry queues only its next sibling.
+        best score of all before.  Edges of a node are taken in their order, so an entry queues only its next sibling, and no more
+        entries than there are segmentations left to find need be kept.
         """
-        into, best = self.forward(unit)
         most = most or self.n
-        ordered = set()
+        if len(unit) > LONG_UNIT:
+            edges_into, best = self.forward_long(unit)
+        else:
+            into, best = self.forward(unit)
+            ordered = set()
+
+            def edges_into(j: int) -> list[tuple]:
+                if j not in ordered:
+                    ordered.add(j)
+                    into[j].sort(reverse=True)
+                return into[j]
+
         found: list[tuple[float, tuple[int, ...]]] = []
         queue: list[tuple] = [(-best, 0, len(unit), 0, 0.0, None)]
         made = 0
         while queue and len(found) < most:
             cost, _, j, r, after, path = heapq.heappop(queue)
             while j:
-                edges = into[j]
-                if j not in ordered:
-                    ordered.add(j)
-                    edges.sort(reverse=True)
+                edges = edges_into(j)
                 if r + 1 < len(edges):
                     made += 1
                     heapq.heappush(queue, (-(edges[r + 1][0] + after), made, j, r + 1, after, path))
+                    if len(queue) > 1024 + 4 * most:
+                        queue = heapq.nsmallest(most, queue)
                 _, j, s, ids = edges[r]
                 after += s
                 path = (ids, path)
@@ -142,9 +185,7 @@ class NBest:
         """Ids of the best segmentation, and the n best ones as (score, [(place in the best ids, ids dropped there, ids put there)])."""
         if not text:
             return np.zeros(0, np.int32), []
-        if len(self.units) > self.limit:
-            self.units.clear()
-        units = _UNITS.findall(" " + text)
+        units = self.split(text)
         packed, scores, gaps = zip(*map(self.units.__getitem__, units), strict=True)
         ids, total = np.frombuffer(b"".join(packed), np.int32), math.fsum(scores)
         gap, most = np.array(gaps), self.n - 1
