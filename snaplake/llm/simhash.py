@@ -13,7 +13,8 @@ longer keys; at most 2^22 can then share one.  A task reports the links of what
 with fingerprints and not with pairs.  Components of the stars are the documents' components.
 
 Nulls and edge cases: a null text is an empty one.  component_id is the smallest doc_id of the component, null only if all of its ids are
-null.  Repeated rows have equal fingerprints and stay in the result.  An empty table gives an empty one.
+null.  Repeated rows have equal fingerprints and stay in the result.  Texts may be of any length.  An empty table gives an empty one.  simhash
+reads no other columns, simhash_dedup passes them on, whatever their names.
 """
 
 from __future__ import annotations
@@ -187,11 +188,15 @@ def simhash(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return found.select("doc_id", "fp").join(clustered(found), "fp").select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
+def first_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """One row of docs for each (id, hash) of keep, the doc_id and text hash of a row; columns stay as they are, whatever their names."""
+    # rows are held in one struct, so their names can't meet ours
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    kept = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("text_hash").eqNullSafe(F.col("hash")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text_hash"]).select("row.*")
+
+
 def simhash_dedup(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One row of docs for each component: the one with the smallest (doc_id, hash of the text), null ids last; of equal rows, one."""
     found = materialize(fingerprints(docs, shingle), "simhash")
-    keep = clustered(found).select(F.col("component_id").alias("_id"), F.col("keep_hash").alias("_hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_hash"))
-    kept = docs.join(keep, same, "left_semi")
-    order = [F.col(f"`{c}`") for c in docs.columns]
-    return kept.withColumn("_hash_", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash_"]).select(*order)
+    return first_rows(docs, clustered(found).select(F.col("component_id").alias("id"), F.col("keep_hash").alias("hash")).distinct())
