@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import re
 import tempfile
@@ -65,6 +67,16 @@ def spread(*cols: Column) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
+#: Bytes of an Arrow batch that goes to Python, unless one row has more.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Limits the session's Arrow batches by bytes: both sides of a Python stage hold whole batches, and Spark's own limit is 64 MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return spark
+
+
 def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, list]]:
     """(place of the first, values) of consecutive values of a string column, about `most` bytes at a time or one longer value."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -78,6 +90,7 @@ def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, lis
 
 def text_chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list]]:
     """(rows, their texts) in steps of about `most` bytes of text, or one document if it is longer; the batch itself stays in Arrow buffers."""
+    give_back()
     for batch in batches:
         for start, texts in chunks(batch.column(text), most):
             yield batch.slice(start, len(texts)), texts
@@ -90,7 +103,7 @@ class Generations(dict):
     common stays and what is held is twice the budget at most.
     """
 
-    def __init__(self, make: Callable, weigh: Callable, budget: int = 24 << 20):
+    def __init__(self, make: Callable, weigh: Callable, budget: int = 12 << 20):
         super().__init__()
         self.make, self.weigh, self.budget, self.size, self.old = make, weigh, budget, 0, {}
 
@@ -113,7 +126,7 @@ class TokenRows(dict):
     tokens and rows take more than `budget` bytes all are forgotten, so memory stays bounded whatever the vocabulary of the corpus is.
     """
 
-    def __init__(self, width: int, compute: Callable[[list[str]], np.ndarray], budget: int = 64 << 20):
+    def __init__(self, width: int, compute: Callable[[list[str]], np.ndarray], budget: int = 40 << 20):
         super().__init__()
         self.width, self.compute, self.budget, self.size = width, compute, budget, 0
         self.values, self.new = np.zeros((1024, width)), []
@@ -156,6 +169,14 @@ def sums_by_row(values: np.ndarray, counts: list[int]) -> np.ndarray:
     return out
 
 
+def give_back() -> None:
+    """Returns freed memory to the machine: workers live on from stage to stage, and what one stage has freed is of no use to the executor's JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # of the GNU library alone
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: The model that a Python worker has unpacked last, with the id its driver gave it.
 _HELD: dict[str, object] = {}
 
@@ -165,7 +186,6 @@ def held(kind: str, key: str, make: Callable[[], object]) -> object:
     name = f"{kind} {key}"
     if name not in _HELD:
         _HELD.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
         _HELD[name] = make()
     return _HELD[name]

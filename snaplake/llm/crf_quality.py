@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, held_out, learn_rows, spread
+from .common import bounded_batches, chunks, held_out, learn_rows, spread
 
 #: Bytes counted for each line: symbols, bars, exclamation marks, digits, capital and small ASCII letters, sentence punctuation.
 CLASSES = (b"#*$%&<>{}[]\\^~_=+@", b"|", b"!", b"0123456789", bytes(range(65, 91)), bytes(range(97, 123)), b".,;:?")
@@ -169,7 +169,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = 1500, sample_by
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted (1 from `threshold` on) of each row of docs (doc_id, text)."""
     model = learn(docs, labels)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = bounded_batches(docs.sparkSession).sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:

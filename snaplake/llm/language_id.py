@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenRows, chunks, held, held_out, spread, sums_by_row
+from .common import TokenRows, bounded_batches, chunks, held, held_out, spread, sums_by_row
 from .lattice import PieceTrie
 from .vocabulary import SPACE, load_pieces
 
@@ -138,7 +138,7 @@ def identified(docs: DataFrame, model: tuple[list[str], np.ndarray, list[str]])
     languages, p, pieces = model
     if not languages:
         return F.struct(F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
-    key, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((languages, p, pieces))
+    key, sent = uuid.uuid4().hex, bounded_batches(docs.sparkSession).sparkContext.broadcast((languages, p, pieces))
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:

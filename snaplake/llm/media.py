@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import materialize, text_chunks
+from .common import bounded_batches, materialize, text_chunks
 
 FRAME, RATE, BANDS, PEAKS, FAN, REACH, BLOCK = 576, 8000, 6, 2, 2, 15, 4096
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pair_times array<int>, pair_codes array<int>"
@@ -118,6 +118,7 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def media_table(docs: DataFrame) -> DataFrame:
     """The written table (doc_id, n_bytes, media) of docs (doc_id, text): each text's sound as a WAV file in a binary column."""
+    bounded_batches(docs.sparkSession)
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     return materialize(rows.mapInArrow(_store, "doc_id long, n_bytes long, media binary"), "media")
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Generations, held, text_chunks
+from .common import Generations, bounded_batches, held, text_chunks
 from .vocabulary import MODEL, SPACE, TOKENIZERS
 
 BYTE_SCORE, RANK_SHIFT = -16.0, 10.0
@@ -43,7 +43,7 @@ _UNITS = re.compile(r" *[^\W\d_]+| *(?:[^\w \n]|[\d_])+|\n| +")
 class NBest:
     """Encoder and decoder over one model file; n segmentations for each unit.  A unit's space mark is held as a plain space."""
 
-    def __init__(self, n: int = 4, path: str | None = None, cache_bytes: int = 80 << 20):
+    def __init__(self, n: int = 4, path: str | None = None, cache_bytes: int = 64 << 20):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path or f"{TOKENIZERS}/{MODEL}")
@@ -223,6 +223,7 @@ ENCODED = "ids array<int>, nbest array<struct<score double, edits array<struct<a
 
 def encode(docs: DataFrame, n: int = 4, tokenizer: str | None = None) -> DataFrame:
     """doc_id with ids (best segmentation), nbest (scores of the n best, each with its edits of ids) and decoded_equal: every one of them decodes to the text."""
+    bounded_batches(docs.sparkSession)
     key = f"{tokenizer}-{n}-{uuid.uuid4().hex}"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,6 +249,7 @@ def encode(docs: DataFrame, n: int = 4, tokenizer: str | None = None) -> DataFra
 
 def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id and text from doc_id and ids; null ids give a null text."""
+    bounded_batches(encoded.sparkSession)
     key = f"{tokenizer}-decode-{uuid.uuid4().hex}"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, text_chunks
+from .common import bounded_batches, fresh_path, materialize, text_chunks
 
 ARCHIVE_BYTES, TRAIN_SAMPLES, DICTIONARY_BYTES, LEVEL = 16 << 20, 256, 65_536, 3
 SKIPPABLE = 0x184D2A5D
@@ -163,6 +163,7 @@ def _marked(pages: DataFrame, least: int) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str, least: int = 0, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """Writes the archives of pages (page_id, url, html) into folder; returns the manifest (path, records, bytes)."""
     write = uuid.uuid4()
+    bounded_batches(pages.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _open(folder)
