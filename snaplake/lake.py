@@ -69,14 +69,15 @@ class Table:
     def delete_all(self, role: str = "superadmin") -> tuple[int, int, int, int]:
         return self._write(role, self.read().limit(0), delete_only=True)
 
-    def compact(self, small_only: bool = True, role: str = "superadmin") -> dict:
+    def compact(self, small_only: bool = True, force_deletions: bool = True, role: str = "superadmin") -> dict:
+        """force_deletions: rows are taken out of the files however few are deleted, else only beyond the table's limit."""
         self.lake.roles.get(role).need("control")
-        done = compaction.compact(self.folder, small_only)
+        done = compaction.compact(self.folder, small_only, force_deletions=force_deletions)
         self.lake.monitor.record("compact", table_name=self.name, role_name=role, **done)
         return done
 
-    def export(self, target: str, files: int | None = None) -> dict:
-        return compaction.export(self.folder, target, files)
+    def export(self, target: str, files: int | None = None, level: int | None = None) -> dict:
+        return compaction.export(self.folder, target, files, level)
 
     def configure(self, **values: int) -> None:
         self.folder.configure(**values)

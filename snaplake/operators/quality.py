@@ -261,6 +261,23 @@ def may_run(now: float, pending_since: float | None, last_run: float | None, run
     return pending_since is not None and not running and (last_run is None or now - last_run >= cooldown)
 
 
+def configure_checks(lake, thresholds: dict[str, float], table: str | None = None) -> None:
+    """Sets thresholds of anomalies for one table, or for all that have none of their own."""
+    if unknown := set(thresholds) - set(THRESHOLDS):
+        raise ValueError(f"thresholds {sorted(unknown)} aren't known")
+    lake.store.write_json(f"{lake.path}/_quality/{table or '__all__'}.json", thresholds, overwrite=True)
+
+
+def thresholds_of(lake, table: str) -> dict[str, float]:
+    """The fixed values, under those of the lake, under those of the table."""
+    out = dict(THRESHOLDS)
+    for name in ("__all__", table):
+        at = f"{lake.path}/_quality/{name}.json"
+        if lake.store.exists(at):
+            out |= lake.store.read_json(at)
+    return out
+
+
 _PROFILE = "column_name string, category string, total long, null_count long, null_rate double, distinct_count long, uniqueness double, min_value string, max_value string, avg_value double, stddev_value double, zero_rate double, negative_rate double"
 #: Columns of the history (fixed values).
 HISTORY = "dq_id string, checked_at timestamp, table_name string, check_type string, quality_score int, status string, row_count long, total_checks int, passed int, warnings int, critical_count int, anomaly_count int, anomalies_json string, column_stats_json string, rule_results_json string, execution_ms long"
@@ -271,6 +288,7 @@ def run_check(lake, table: str, rules: list[Rule] | None = None, kind: str = "qu
 
     Anomalies and drift of the schema lower the score as findings of rules do, and are kept with it.
     """
+    thresholds = {**thresholds_of(lake, table), **(thresholds or {})}
     of = lake.table(table)
     df, snapshot = of.read(), of.folder.snapshot()
     start = datetime.datetime.now(datetime.timezone.utc)

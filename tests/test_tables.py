@@ -311,6 +311,25 @@ def test_a_commit_does_not_grow_with_the_files(spark, lake):
     assert t.read().count() == 75
 
 
+def test_merged_files_keep_their_deletions(spark, lake):
+    t = lake.table("t")
+    t.configure(max_small_files=4)
+    for k in range(3):
+        t.append(spark.range(10 * k, 10 * k + 10).coalesce(1))
+    t.delete(spark.createDataFrame([(1,), (11,), (25,)], "id long"), ["id"])
+    before = t.snapshot()
+    t.append(spark.range(30, 40).coalesce(1))  # the fourth small file: all are merged
+    after = t.snapshot()
+    assert len(before.resources) == 3 and len(after.resources) < 4 and after.live_rows == 37
+    t.delete(spark.createDataFrame([(2,)], "id long"), ["id"])
+    t.compact()
+    want = sorted(set(range(40)) - {1, 2, 11, 25})
+    assert sorted(r["id"] for r in t.read().collect()) == want and t.snapshot().live_rows == 36 and not t.snapshot().deletions
+    assert t.read(before.version).count() == 27
+    t.delete(spark.createDataFrame([(3,)], "id long"), ["id"])
+    assert t.compact(force_deletions=False)["deleted_rows_dropped"] == 0 and t.read().count() == 35
+
+
 def test_of_racing_commits_one_wins(spark, lake):
     store = lake.store
     for k in range(60):
@@ -385,13 +404,17 @@ def test_filter_stays_pushed_below_the_deletion_join(spark, lake):
     assert "LeftAnti" in plan and "GreaterThan(id,50)" in plan
 
 
-def test_sql_shim():
+def test_sql_shim(spark):
     spark_sql = dialect.to_spark
     assert spark_sql("SELECT 'a // b' -- x // y\n, 7 // 2") == "SELECT 'a // b' -- x // y\n, 7  div  2"
     assert "NULLS LAST" in spark_sql("SELECT a FROM t ORDER BY a") and "NULLS LAST" not in spark_sql("SELECT a FROM t ORDER BY a DESC")
     assert spark_sql("SELECT log(x)") == "SELECT log10(x)"
     assert spark_sql("SELECT strftime(t, 'at %H:%M')") == "SELECT date_format(t, '''at'' HH:mm')"
     assert spark_sql("SELECT * EXCLUDE (a) FROM t") == "SELECT * EXCEPT (a) FROM t"
+    ordered = spark_sql("SELECT array_agg(v ORDER BY a DESC, b DESC) AS l FROM VALUES (1, 2, 'x'), (1, 3, 'y'), (0, 9, 'z') AS t(a, b, v)")
+    assert spark.sql(ordered).first()["l"] == ["y", "x", "z"]
+    with pytest.raises(ValueError):
+        spark_sql("SELECT array_agg(v ORDER BY a DESC, b) FROM t")
     assert "__qualify" in spark_sql("SELECT a FROM t QUALIFY row_number() OVER (ORDER BY a) = 1")
     with pytest.raises(ValueError):
         spark_sql("SELECT strftime(t, '%Q')")
@@ -521,6 +544,11 @@ def test_checks_find_anomalies_against_the_last_one(spark, lake):
     assert row["anomaly_count"] == len(found) and row["status"] == "critical" and row["quality_score"] < 60
     assert quality.table_anomalies({"hours": 25, "bytes": 10}, {"bytes": 4}) == [{"column_name": None, "anomaly": "freshness", "change": 25, "severity": "warning"}, {"column_name": None, "anomaly": "table_size", "change": 150.0, "severity": "critical"}]
     assert quality.run_check(lake, "t").first()["anomaly_count"] == 0
+    quality.configure_checks(lake, {"freshness_hours": -1.0})
+    quality.configure_checks(lake, {"freshness_hours": 48.0}, "u")
+    assert quality.run_check(lake, "t").first()["anomaly_count"] == 1 and quality.thresholds_of(lake, "u")["freshness_hours"] == 48.0
+    with pytest.raises(ValueError):
+        quality.configure_checks(lake, {"other": 1.0})
 
 
 def test_mirrors(spark, lake, tmp_path):
