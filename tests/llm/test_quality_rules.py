@@ -1,9 +1,11 @@
+import itertools
 import random
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from snaplake.llm import quality_rules as R
 
@@ -27,17 +29,43 @@ def test_base_statistics(spark, documents):
 
 
 def estimate(x):
-    """The same estimate in NumPy: location and covariance."""
-    floor = np.array(list(R.FLOOR.values()))
-    up = lambda v, share: np.array([(np.floor(np.sort(c)[int(np.ceil(share * len(c))) - 1] * R.BINS) + 1) / R.BINS for c in v.T])
-    mean = up(x, 0.5)
-    cov = np.diag(np.maximum(1.4826 * up(np.abs(x - mean), 0.5), floor) ** 2)
-    for _ in range(R.STEPS):
-        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-        v = np.log(d + 1e-9)
-        inner = x[v < up(v[:, None], R.SHARE)[0]]
-        mean, cov = inner.mean(axis=0), R.CONSISTENT * np.cov(inner.T, bias=True) + np.diag(floor**2)
-    return mean, cov
+    """The same estimate in NumPy: location and covariance of the least determinant that C-steps find from the three starts."""
+    floor = np.diag(np.array(list(R.FLOOR.values())) ** 2)
+    up = lambda v, share, bins: np.array([(np.floor(np.sort(c)[int(np.ceil(share * len(c))) - 1] * bins) + 1) / bins for c in v.T])
+    distance = lambda mean, cov: np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+    middle = up(x, 0.5, R.BINS)
+    starts = [(middle, np.diag(np.maximum(1.4826 * up(np.abs(x - middle), 0.5, R.BINS), np.sqrt(np.diag(floor))) ** 2))]
+    for w in (np.ones(len(x)), 1 / (distance(*starts[0]) + 1e-6)):
+        mean = (w[:, None] * x).sum(axis=0) / w.sum()
+        starts.append((mean, (w[:, None] * (x - mean)).T @ (x - mean) / w.sum() + floor))
+    found = []
+    for k, (mean, cov) in enumerate(starts):
+        best = None
+        while True:
+            v = np.log(distance(mean, cov) + 1e-9)
+            inner = x[v < up(v[:, None], R.SHARE, R.FINE)[0]]
+            mean, cov = inner.mean(axis=0), R.CONSISTENT * np.cov(inner.T, bias=True) + floor
+            det = np.linalg.slogdet(cov)[1]
+            if best is not None and det >= best[0] - R.CLOSE:
+                break
+            best = (det, k, mean, cov)
+        found.append(best)
+    return min(found, key=lambda b: b[:2])[2:]
+
+
+def test_the_determinant_is_the_least_of_all_choices(spark):
+    rng = np.random.default_rng(4)
+    groups = {}
+    for g in "abc":
+        x = rng.normal(0, [0.5, 0.2, 0.3, 0.6, 0.4], (14, 5))
+        x[:3] += rng.normal(0, 6, (3, 5))
+        groups[g] = x
+    rows = spark.createDataFrame([(g, *map(float, v)) for g, x in groups.items() for v in x], "g string, x1 double, x2 double, x3 double, x4 double, x5 double")
+    floor = np.diag(np.array(list(R.FLOOR.values())) ** 2)
+    for r in R._estimates(rows).collect():
+        got = 2 * sum(np.log(r[f"l_{i}_{i}"]) for i in range(5))
+        want = min(np.linalg.slogdet(R.CONSISTENT * np.cov(groups[r["g"]][list(pick)].T, bias=True) + floor)[1] for pick in itertools.combinations(range(14), 11))
+        assert got == pytest.approx(want, abs=1e-6)
 
 
 def test_outliers_equal_numpy(spark, documents):
@@ -45,8 +73,9 @@ def test_outliers_equal_numpy(spark, documents):
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
     rows = [(i, " ".join(word() for _ in range(rng.randint(40, 200))), "en", "s" if i % 4 else None) for i in range(240)]
     rows += [(300, " ".join(word() + "###" for _ in range(60)), "en", "s"), (301, " ".join(word() for _ in range(60)), "de", "s"), (302, "a b", "en", "s"), (303, None, None, None)]
-    out = {r["doc_id"]: r for r in R.quality_rules(documents(rows)).collect()}
-    assert len(out) == len(rows)
+    df = documents(rows).withColumns({c: F.lit("mine") for c in ("g", "pool", "judge", "d2", "x1", "m0", "n", "start", "words")})
+    out = {r["doc_id"]: r for r in R.quality_rules(df).collect()}
+    assert len(out) == len(rows) and R.quality_rules(documents([rows[0], rows[0]])).count() == 2
 
     def vector(r):
         n = max(r["n_words"], 1)
@@ -59,7 +88,7 @@ def test_outliers_equal_numpy(spark, documents):
         want = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
         assert [out[d]["distance"] for d in ids] == pytest.approx(want.tolist(), rel=1e-6)
     assert not out[300]["kept"] and out[300]["base_failed"] is False
-    assert out[301]["kept"] and out[301]["distance"] is None
+    assert out[301]["kept"] and out[301]["distance"] is None and out[301]["pooled_distance"] is not None
     assert out[302]["base_failed"] and not out[303]["kept"]
     assert sum(out[i]["kept"] for i in range(240)) >= 238
     assert R.quality_rules(documents([])).count() == 0
