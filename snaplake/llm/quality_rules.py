@@ -126,7 +126,8 @@ CUTOFF = chi_square_quantile(TAIL, len(FEATURES))
 
 def _quantiles(values: DataFrame, keys: list[str], value: Column, share: float, name: str, bins: int = BINS) -> DataFrame:
     """For each key the upper end of the bin in which the given share of the values is reached; bins are 1/bins wide."""
-    counted = values.groupBy(*keys, F.floor(value * bins).alias("bin")).agg(F.count("*").alias("n"))
+    # grouped as one struct, so that a group's counts are added up bin by bin in many tasks; by the group alone they would all go to the window's task
+    counted = values.select(F.struct(*keys, F.floor(value * bins).alias("bin")).alias("k")).groupBy("k").agg(F.count("*").alias("n")).select("k.*", "n")
     upto = Window.partitionBy(*keys).orderBy("bin")
     whole = Window.partitionBy(*keys)
     reached = counted.withColumn("c", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(whole)).where(F.col("c") >= F.lit(share) * F.col("all"))
