@@ -21,6 +21,7 @@ import heapq
 import itertools
 import math
 import re
+import struct
 import uuid
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -43,7 +44,7 @@ _UNITS = re.compile(r" *[^\W\d_]+| *(?:[^\w \n]|[\d_])+|\n| +")
 class NBest:
     """Encoder and decoder over one model file; n segmentations for each unit.  A unit's space mark is held as a plain space."""
 
-    def __init__(self, n: int = 4, path: str | None = None, cache_bytes: int = 64 << 20):
+    def __init__(self, n: int = 4, path: str | None = None, cache_bytes: int = 128 << 20):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path or f"{TOKENIZERS}/{MODEL}")
@@ -70,8 +71,8 @@ class NBest:
         self.longest = max(map(len, self.pieces))
         #: Neighbouring characters where _UNITS cuts and a piece goes on.
         self.crossing = sorted({a[-1] + b[0] for p in self.pieces for a, b in itertools.pairwise(_UNITS.findall(p))})
-        # a unit's ids as int32 bytes, its score, and what its second choice costs
-        self.units = Generations(self._unit, lambda unit, made: 300 + 2 * len(unit) + len(made[0]), cache_bytes)
+        # a unit's score and what its second choice costs, as two doubles, and its ids, as int32, in one run of bytes
+        self.units = Generations(self._unit, lambda unit, made: 200 + 2 * len(unit) + len(made), cache_bytes)
         #: Ranks that the n best combinations of n-1 lists can have: one that has more than n combinations at or before it isn't among them.
         self.ranks = [r for r in itertools.product(range(n), repeat=n - 1) if math.prod(x + 1 for x in r) <= n]
 
@@ -177,29 +178,36 @@ class NBest:
             found.append((-cost, tuple(ids_)))
         return found
 
-    def _unit(self, unit: str) -> tuple[bytes, float, float]:
+    def _unit(self, unit: str) -> bytes:
         two = self.search(unit, 2 if self.n > 1 else 1)
-        return np.array(two[0][1], np.int32).tobytes(), two[0][0], two[0][0] - two[1][0] if len(two) > 1 else math.inf
+        ids = two[0][1]
+        return struct.pack(f"=dd{len(ids)}i", two[0][0], two[0][0] - two[1][0] if len(two) > 1 else math.inf, *ids)
 
     def encode(self, text: str) -> tuple[np.ndarray, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
         """Ids of the best segmentation, and the n best ones as (score, [(place in the best ids, ids dropped there, ids put there)])."""
         if not text:
             return np.zeros(0, np.int32), []
         units = self.split(text)
-        packed, scores, gaps = zip(*map(self.units.__getitem__, units), strict=True)
-        ids, total = np.frombuffer(b"".join(packed), np.int32), math.fsum(scores)
-        gap, most = np.array(gaps), self.n - 1
-        near = np.flatnonzero(gap <= (np.partition(gap, most - 1)[most - 1] if 0 < most < len(gap) else np.inf)) if most else gap[:0].astype(int)
-        places = sorted(sorted((k for k in near.tolist() if gaps[k] < math.inf), key=gaps.__getitem__)[:most])
+        packed = list(map(self.units.__getitem__, units))
+        words = np.frombuffer(b"".join(packed), np.int32)
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        head = (np.cumsum(size) - size)[:, None] + np.arange(4)
+        scores, gap = words[head].view(np.float64).T
+        is_id = np.ones(len(words), bool)
+        is_id[head] = False
+        ids, total = words[is_id], math.fsum(scores.tolist())
+        most = self.n - 1
+        near = np.flatnonzero(gap <= (np.partition(gap, most - 1)[most - 1] if 0 < most < len(gap) else np.inf)) if most else np.zeros(0, np.int64)
+        places = sorted(sorted((k for k in near.tolist() if gap[k] < math.inf), key=gap.__getitem__)[:most])
         if not places:
             return ids, [(total, [])]
-        ends = np.cumsum([len(p) for p in packed[: places[-1] + 1]]) // 4
+        ends = np.cumsum(size[: places[-1] + 1] - 4)
         choices = [self.search(units[k]) for k in places]
         ranks = [r[: len(places)] for r in self.ranks if not any(r[len(places) :])]
         combined = sorted((math.fsum(c[0][0] - c[x][0] for c, x in zip(choices, r, strict=True)), r) for r in ranks if all(x < len(c) for c, x in zip(choices, r, strict=True)))
         out = []
         for cost, r in combined[: self.n]:
-            out.append((total - cost, [(int(ends[k]) - len(packed[k]) // 4, len(packed[k]) // 4, c[x][1]) for k, c, x in zip(places, choices, r, strict=True) if x]))
+            out.append((total - cost, [(int(ends[k] - size[k]) + 4, int(size[k]) - 4, c[x][1]) for k, c, x in zip(places, choices, r, strict=True) if x]))
         return ids, out
 
     def decode(self, ids: list[int]) -> str:
