@@ -30,7 +30,7 @@ from .common import TokenRows, bounded_batches, chunks, held, held_out, spread,
 from .lattice import PieceTrie
 from .vocabulary import SPACE, load_pieces
 
-#: Words up to this length are summed many at a time in plain floats: PIECE_FLOOR to this power is still one.
+#: Words up to this length are summed many at a time in plain floats: the least probability of a piece to this power is still a number above zero.
 LONG, LEARN_LETTERS = 33, 256
 _RUN = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
