@@ -4,9 +4,10 @@ Terms are the first STEM characters of runs of letters and digits, lower-cased;
 An example's vector has (1 + ln count) * ln(1 + examples / examples with the term), at length 1; so has a text's, over the terms that an example has.
 
 Index: examples lie in blocks of BLOCK, alike ones together (halved again and again along the main axis of their common terms).  For
-each term it has the blocks where it occurs, its largest weight in each, and its postings there.  A query adds up the blocks' bounds, takes blocks
-in falling order of their bounds, a few at first and twice as many each time, and stops as soon as none can reach the k-th best, so results equal
-those of a full scan; ties go to the example with the smaller doc_id.
+each term it has the blocks where it occurs, its largest weight in each, and its postings there; for terms that many examples have, postings are
+rows of weights, which some queries at once are multiplied with.  A query adds up the blocks' bounds, takes blocks in falling order of their
+bounds, a few at first and then all that may still reach the k-th best, so results equal those of a full scan; ties go to the
+example with the smaller doc_id.
 
 Score: the NEAREST examples vote with weights 1 / (0.05 + distance); an isotonic curve, fitted to the votes that examples get from the
 others, turns votes into probabilities.  A text with terms, but none that an example has, scores the examples' share of toxic ones.  Evidence
@@ -27,6 +28,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +36,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Generations, chunks, held, held_out, learn_rows, materialize, spread, text_chunks
+from .common import bounded_batches, chunks, held, held_out, learn_rows, materialize, spread, text_chunks
 from .simhash import fingerprint
 
-NEAREST, BLOCK, EVIDENCE, STEM = 50, 64, 5, 4
-_TERM = re.compile(r"[^\W_]+")
+NEAREST, BLOCK, EVIDENCE, STEM, DENSE, AT_ONCE = 25, 64, 5, 4, 640, 32
+_TERM, _STEM = re.compile(r"[^\W_]+"), itemgetter(slice(0, STEM))
 
 
 def terms_of(text: str | None) -> Counter:
-    return Counter(t[:STEM] for t in _TERM.findall(text.lower())) if text else Counter()
+    return Counter(map(_STEM, _TERM.findall(text.lower()))) if text else Counter()
 
 
 def ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,18 +78,31 @@ def alike_together(example: np.ndarray, term: np.ndarray, weight: np.ndarray, n:
 
 
 class BlockMaxIndex:
-    """Exact top-k by inner product over sparse vectors of length 1, given as entries (example, term, weight)."""
+    """Exact top-k by inner product over sparse vectors of length 1, given as entries (example, term, weight).
+
+    The postings of a term that one in 64 of the examples has are kept as a row of weights, zeros included (DENSE terms at most); those of
+    others as lists.
+    """
 
     def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, n_terms: int):
-        #: The example at each place.
+        #: The example at each place; places beyond the last example stand for none.
         self.order = alike_together(example, term, weight, n, n_terms)
         self.n, self.n_blocks = n, -(-n // BLOCK)
         place = np.empty(n, np.int64)
         place[self.order] = np.arange(n)
         at = place[example]
+        df = np.bincount(term, minlength=n_terms)
+        common = np.argsort(-df, kind="stable")[:DENSE]
+        common = common[64 * df[common] >= n]
+        self.row = np.full(n_terms, -1)
+        self.row[common] = np.arange(len(common))
+        dense = self.row[term] >= 0
+        self.rows = np.zeros((len(common), self.n_blocks * BLOCK))
+        self.rows[self.row[term[dense]], at[dense]] = weight[dense]
+        term, at, weight = term[~dense], at[~dense], weight[~dense]
         by = np.lexsort((at, term))
         term, at = term[by], at[by]
-        self.place, self.weight = at.astype(np.int32), weight[by]
+        self.place, self.weight = at, weight[by]
         block = at // BLOCK
         heads = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(by) else np.zeros(0, np.int64)
         #: Entry (term, block): its postings, block and largest weight; and each term's entries.
@@ -96,34 +111,45 @@ class BlockMaxIndex:
         self.most = np.maximum.reduceat(self.weight, heads) if len(by) else np.zeros(0)
         self.entry = np.searchsorted(term[heads], np.arange(n_terms + 1))
 
-    def top(self, terms: np.ndarray, values: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
+    def common_parts(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the common terms add to the score of each place, [queries, places]."""
+        values = np.zeros((len(queries), len(self.rows)))
+        for i, (terms, value) in enumerate(queries):
+            row = self.row[terms]
+            values[i, row[row >= 0]] = value[row >= 0]
+        return values @ self.rows
+
+    def top(self, terms: np.ndarray, values: np.ndarray, k: int, skip: int = -1, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
         """(similarities, examples) of the k best over 0, best first, without example `skip`; and how many blocks were scored."""
-        entries, size = ranges(self.entry[terms], self.entry[terms + 1])
-        value, block = np.repeat(values, size), self.block[entries]
-        bound = np.bincount(block, value * self.most[entries], minlength=self.n_blocks)
+        common = self.common_parts([(terms, values)])[0] if common is None else common
+        rare = self.row[terms] < 0
+        entries, size = ranges(self.entry[terms[rare]], self.entry[terms[rare] + 1])
+        value, block = np.repeat(values[rare], size), self.block[entries]
+        bound = common.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, value * self.most[entries], minlength=self.n_blocks)
         order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
         found, score = np.zeros(0, np.int64), np.zeros(0)
-        at, step, least = 0, -(-(k + 1) // BLOCK) + 1, 0.0
-        while at < len(order) and bound[order[at]] >= least - 1e-9:
+        at, least, stop = 0, 0.0, min(self.n_blocks, 2 + -(-(k + 1) // BLOCK))
+        while at < stop:
             taken = np.zeros(self.n_blocks, bool)
-            taken[order[at : at + step]] = True
-            taken &= bound >= least - 1e-9
+            taken[order[at:stop]] = True
             use = taken[block]
             chosen = entries[use]
             postings, size = ranges(self.posting[chosen], self.posting[chosen + 1])
-            sums = np.bincount(self.place[postings], np.repeat(value[use], size) * self.weight[postings], minlength=self.n)
+            sums = common + np.bincount(self.place[postings], np.repeat(value[use], size) * self.weight[postings], minlength=len(common))
             places = np.flatnonzero(sums > max(0.0, least - 1e-9))
+            places = places[taken[places // BLOCK]]
             found, score = np.concatenate([found, self.order[places]]), np.concatenate([score, np.round(sums[places], 12)])
             if skip >= 0:
                 score, found = score[found != skip], found[found != skip]
             if len(score) > k:
+                near = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+                score, found = score[near], found[near]
                 best = np.lexsort((found, -score))[:k]
                 score, found = score[best], found[best]
                 least = float(score[-1])
-            at, step = at + step, step * 2
+            at, stop = stop, int(np.searchsorted(-bound[order], -(least - 1e-9), side="right")) if least > 0 else int((bound > 0).sum())
         best = np.lexsort((found, -score))
-        return score[best], found[best], min(at, len(order))
+        return score[best], found[best], at
 
 
 def vote(similarity: np.ndarray, labels: np.ndarray) -> float:
@@ -155,38 +181,42 @@ class Voter:
         self.entries = example, term, weight
         self.index = BlockMaxIndex(example, term, weight, len(ids), len(terms))
         self.share = float(labels.mean()) if len(labels) else 0.0
-        self.tokens = Generations(self._numbers, lambda token, found: 180 + 2 * len(token) + 8 * len(found))
-
-    def _numbers(self, token: str) -> tuple[int, ...]:
-        """Numbers of the terms of a white-space token; -1 for a term that no example has."""
-        return tuple(self.number.get(t[:STEM], -1) for t in _TERM.findall(token.lower()))
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
-        """(terms, weights) of a text at length 1; None for a text without terms."""
-        counts: dict[int, int] = {}
-        for token, n in Counter((text or "").split()).items():
-            for t in self.tokens[token]:
-                counts[t] = counts.get(t, 0) + n
-        if not counts:
+        """(terms, weights) of a text at length 1, over the terms that an example has; None for a text without terms."""
+        bag, number = terms_of(text), self.number
+        if not bag:
             return None
-        counts.pop(-1, None)
-        terms = np.sort(np.fromiter(counts, np.int64, len(counts)))
-        values = (1 + np.log(np.array([counts[t] for t in terms.tolist()], float))) * self.idf[terms]
-        return terms, values / np.sqrt((values * values).sum()) if len(values) else values
-
-    def nearest(self, text: str | None, skip: int = -1) -> tuple[np.ndarray, np.ndarray] | None:
-        made = self.vector(text)
-        return None if made is None else self.index.top(*made, NEAREST, skip)[:2]
-
-    def score(self, text: str | None) -> tuple[float, list[tuple[int, float, int]]]:
-        """(probability, [(example's id, similarity, label)])."""
-        near = self.nearest(text)
-        if near is None:
-            return 0.0, []
-        if not len(near[0]):
-            return self.share, []
-        p = float(np.interp(vote(near[0], self.labels[near[1]]), *self.knots))
-        return p, [(int(self.ids[i]), float(s), int(self.labels[i])) for s, i in zip(near[0][:EVIDENCE], near[1][:EVIDENCE], strict=True)]
+        known = sorted((number[t], n) for t, n in bag.items() if t in number)
+        if not known:
+            return np.zeros(0, np.int64), np.zeros(0)
+        terms, counts = (np.array(x) for x in zip(*known, strict=True))
+        values = (1 + np.log(counts)) * self.idf[terms]
+        return terms, values / np.sqrt((values * values).sum())
+
+    def nearest(self, texts: list[str | None], skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """(similarities, examples) of the nearest examples of each text, without its own one; None for texts without terms."""
+        made = [self.vector(t) for t in texts]
+        out: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(texts)
+        full = [i for i, v in enumerate(made) if v is not None]
+        for a in range(0, len(full), AT_ONCE):
+            some = full[a : a + AT_ONCE]
+            for i, common in zip(some, self.index.common_parts([made[i] for i in some]), strict=True):
+                out[i] = self.index.top(*made[i], NEAREST, -1 if skip is None else skip[i], common)[:2]
+        return out
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float, int]]]]:
+        """(probability, [(example's id, similarity, label)]) of each text."""
+        out = []
+        for near in self.nearest(texts):
+            if near is None:
+                out.append((0.0, []))
+            elif not len(near[0]):
+                out.append((self.share, []))
+            else:
+                p = float(np.interp(vote(near[0], self.labels[near[1]]), *self.knots))
+                out.append((p, [(int(self.ids[i]), float(s), int(self.labels[i])) for s, i in zip(near[0][:EVIDENCE], near[1][:EVIDENCE], strict=True)]))
+        return out
 
 
 def first_of_alike(prints: np.ndarray, sizes: np.ndarray, bits: int = 12, least: int = 10) -> list[int]:
@@ -200,8 +230,9 @@ def first_of_alike(prints: np.ndarray, sizes: np.ndarray, bits: int = 12, least:
     return kept
 
 
-def learn(docs: DataFrame, labels: DataFrame, examples: int = 8_000, postings: int = 4_000_000) -> tuple | None:
+def learn(docs: DataFrame, labels: DataFrame, examples: int = 4_000, postings: int = 2_000_000) -> tuple | None:
     """Arguments of a Voter from labels (doc_id, toxic) and their texts; None without any."""
+    bounded_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").where(learn_rows(F.col("doc_id"))).distinct()
     draw = spread(F.col("doc_id"), F.lit("toxic"))
     picked = known.orderBy(draw, "doc_id", "label").limit(examples)
@@ -238,7 +269,7 @@ def learn(docs: DataFrame, labels: DataFrame, examples: int = 8_000, postings: i
         mine = held("toxicity-examples", key, lambda: Voter(*sent.value))
         for rows, texts in text_chunks(batches):
             places = np.searchsorted(mine.ids, rows.column("doc_id").to_numpy()).tolist()
-            near = [mine.nearest(t, i) for t, i in zip(texts, places, strict=True)]
+            near = mine.nearest(texts, places)
             votes = [vote(x[0], mine.labels[x[1]]) if x is not None and len(x[0]) else None for x in near]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), rows.column("label")], ["vote", "label"])
 
@@ -260,8 +291,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
         for column in columns:
             score, near = [], []
             for _, texts in chunks(column):
-                for t in texts:
-                    p, found = mine.score(t) if mine else (0.0, [])
+                for p, found in mine.scores(texts) if mine else [(0.0, [])] * len(texts):
                     score.append(p)
                     near.append([{"doc_id": i, "similarity": s, "toxic": y} for i, s, y in found])
             yield pa.StructArray.from_arrays([pa.array(score, pa.float64()), pa.array(near, _NEAR)], ["score", "evidence"])
