@@ -36,9 +36,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, text_chunks
+from .common import bounded_batches, chunks, materialize, text_chunks
 
-NEAR_WORDS, NEAR_CHARS, BITMAP_BITS = 8, 8, 1 << 27
+NEAR_WORDS, NEAR_CHARS, BITMAP_BITS, HOT_KEYS = 8, 8, 1 << 27, 10_000
 _ORDER = ["none", "doc_id", "th", "line"]
 
 
@@ -222,9 +222,14 @@ def _near(lines: DataFrame, near_words: int, near_chars: int) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, near_words: int = NEAR_WORDS, near_chars: int = NEAR_CHARS) -> DataFrame:
     """(doc_id, th, exact, near) of each document (th: hash of its text) that loses lines: their numbers, sorted."""
+    bounded_batches(docs.sparkSession)
     lines = materialize(_keys(docs, near_words, near_chars), "lines")
-    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct(*_ORDER)).alias("first"), F.count("*").alias("n")).where("n > 1")
-    exact = lines.select("k1", "k2", F.struct(*_ORDER).alias("o")).join(firsts, ["k1", "k2"]).where(F.col("o") != F.col("first")).select("o.*", F.lit(False).alias("is_near"))
+    firsts = materialize(lines.groupBy("k1", "k2").agg(F.min(F.struct(*_ORDER)).alias("first"), F.count("*").alias("n")).where("n > 1"), "first-lines")
+    # fewer than HOT_KEYS lines can have more copies than this, so these are sent to all tasks; the others' copies are dealt by key
+    common = F.col("n") > max(1000, lines.count() // HOT_KEYS)
+    hot, rest, each = F.broadcast(firsts.where(common)), firsts.where(~common), lines.select("k1", "k2", F.struct(*_ORDER).alias("o"))
+    copies = each.join(hot, ["k1", "k2"]).unionByName(each.join(hot, ["k1", "k2"], "left_anti").join(rest, ["k1", "k2"]))
+    exact = copies.where(F.col("o") != F.col("first")).select("o.*", F.lit(False).alias("is_near"))
     ranked = _candidates(docs, lines, near_words, near_chars)
     near = ranked.select("lid", *_ORDER).join(_near(ranked, near_words, near_chars), "lid", "left_semi").select(*_ORDER, F.lit(True).alias("is_near"))
     found = exact.unionByName(near).groupBy("doc_id", "th")
