@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.catalog import ROW_FILE, Snapshot, TableFolder
+from ..sources.catalog import ROW_FILE, ROW_ID, Snapshot, TableFolder
 from ..sources.scan import DELETIONS, deletions, file_key, live, path_key, read_files, without_deleted
 
 CHUNK_BYTES, MAX_SMALL_FILES, MAX_DELETION_ROWS = 16 << 20, 100, 1_000_000
