@@ -3,13 +3,20 @@
 Shingles: words are those of simhash.fingerprint (A-Z lower-cased, runs without space and \\t..\\r); a shingle is SHINGLE words,
 known by a 64-bit hash; a text of fewer words is one shingle, also one without words.
 
-Candidates: only distinct sets are compared.  With the shingles of every set in one order, two sets of similarity 0.8 share one
-of the first n - ceil(0.8 n) + 1 of their n shingles.  Any order is right; shingles that are common in a sample come last, so few
-sets meet.  A pair is followed up only if its sizes, and what is left of both sets after the shared shingle, allow the similarity.
+Candidates: only distinct sets are compared.  With the shingles of every set in one order, two sets of similarity 0.8 share one of the first n - ceil(0.8 n) + 1
+of their n shingles.  Any order is right; shingles that are common in a sample come last, so few sets meet.  A pair is followed
+up only if its sizes, and what is left of both sets after the shared shingle, allow the similarity.
 
-Checks: the shingles of both texts are intersected.  In a first round each set of a shingle's group is checked against the one
-before it and the group's first; in a second one, all pairs of the groups whose components still differ.  So a large group of near
-copies costs its size, and no pair that could join two components goes unchecked.
+Rounds: in a first round each set of a shingle's group is paired with the one before it and the group's first; in a second one, all
+pairs of the groups whose components still differ.  So a large group of near copies costs its size, and no pair that could join two components
+goes unchecked.
+
+Checks: each set has a sketch of n to 2 n bits, the parities of how many shingles fall on each.  The bits in which two sketches differ are
+no more than the shingles that only one set has, so a pair with too many can't be similar.  The shingles of what is left
+are intersected.
+
+Disk: prefixes and sketches are written once, texts are read again only for the sets of the last check, and of the documents only those are
+dealt out that may have a copy.  Which ones these are is told by bitmaps of a fixed size; false positives cost time only.
 
 Nulls and edge cases: a null text is an empty one.  Of each component the row with the smallest (doc_id, hash of the text) stays,
 null ids last; of equal rows, one.  Texts may be of any length.  An empty table gives an empty one.  All columns are passed on, whatever their names.
@@ -23,16 +30,19 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, held, materialize, spread, text_chunks
 from .components import components
+from .line_dedup import bitmap
 from .simhash import ROWS_AT_ONCE, first_rows
 
 SHINGLE = 5
 #: Documents of the sample that tells which shingles are common, and how many of those are told to the tasks.
 SAMPLE_DOCS, COMMON = 20_000, 200_000
+#: Size of the bitmaps that tell which rows are read again or dealt out.
+MARKS = 1 << 25
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -83,22 +93,62 @@ def _prefix(found: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndar
     return found[np.lexsort((found, often))][: len(found) - (4 * len(found) + 4) // 5 + 1]
 
 
+def parities(found: np.ndarray) -> bytes:
+    """Whether an odd number of shingles falls on each bit; there are n to 2 n bits, a power of two, 64 at least."""
+    bits = max(64, 1 << (len(found) - 1).bit_length())
+    return np.packbits(np.bincount(found & (bits - 1), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def unlike(x: bytes, y: bytes) -> int:
+    """A number of shingles that at least one, but not both, of two sets must have, from their parities: the longer ones are folded."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, size = int.from_bytes(x, "little"), 8 * len(x)
+    while size > 8 * len(y):
+        size //= 2
+        a = (a >> size) ^ (a & ((1 << size) - 1))
+    return (a ^ int.from_bytes(y, "little")).bit_count()
+
+
 def _sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, set, n, prefix) of each row of docs; equal sets have equal prefixes."""
+    """(doc_id, text_hash, set, n, sketch, prefix) of each row of docs; equal sets have equal values."""
     key, sent = uuid.uuid4().hex, bounded_batches(docs.sparkSession).sparkContext.broadcast(_common(docs))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held("shingle-words", key, _Words)
         for rows, texts in text_chunks(batches):
             found = [shingles(t, known) for t in texts]
-            sets = np.array([xxhash.xxh64_intdigest(f.tobytes(), 42) for f in found], np.uint64).view(np.int64)
             cut = [_prefix(f, sent.value) for f in found]
             ends = np.cumsum([0, *map(len, cut)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cut)))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), pa.array(sets), pa.array(np.array([len(f) for f in found], np.int64)), prefix], ["doc_id", "text_hash", "set", "n", "prefix"])
+            values = [pa.array(_set_ids(found)), pa.array(list(map(len, found)), pa.int64()), pa.array(list(map(parities, found)), pa.binary())]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), *values, prefix], ["doc_id", "text_hash", "set", "n", "sketch", "prefix"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, set long, n long, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, set long, n long, sketch binary, prefix array<long>")
+
+
+def _set_ids(found: list[np.ndarray]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(f.tobytes(), 42) for f in found], np.uint64).view(np.int64)
+
+
+def _row_key(doc_id: Column, text_hash: Column) -> Column:
+    return F.xxhash64(doc_id.cast("long"), text_hash)
+
+
+def _has(bits: np.ndarray, keys: pa.Array) -> np.ndarray:
+    at = keys.to_numpy(zero_copy_only=False) % MARKS
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _marked(rows: DataFrame, key: Column, column: Column) -> Column:
+    """Whether column may be the key of one of rows: always true if it is, and for few others."""
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap(rows, key, MARKS))
+
+    def has(keys: pa.Array) -> pa.Array:
+        return pa.array(_has(sent.value, keys))
+
+    return F.arrow_udf(has, "boolean")(column)
 
 
 def _may_be(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -171,39 +221,63 @@ def _second_round(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             lag += 1
 
 
+def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sketches allow a similarity of 0.8: 9 times the shingles that one set alone has are at most both sizes."""
+    for batch in batches:
+        sizes = batch.column("m").to_numpy() + batch.column("n").to_numpy()
+        apart = np.fromiter(map(unlike, batch.column("x").to_pylist(), batch.column("y").to_pylist()), np.int64, batch.num_rows)
+        yield batch.select(["a", "b"]).filter(pa.array(9 * apart <= sizes))
+
+
 def _similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of sets whose similarity is 0.8 or more."""
+    sketches = [classes.select(F.col("set").alias(p), F.col("n").alias(n), F.col("sketch").alias(x)) for p, n, x in (("a", "m", "x"), ("b", "n", "y"))]
     pairs = materialize(pairs.where("a <> b").distinct(), "candidates")
+    pairs = materialize(pairs.join(sketches[0], "a").join(sketches[1], "b").select("a", "b", "m", "n", "x", "y").mapInArrow(_alike, "a long, b long"), "alike")
     met = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    wanted = classes.join(met, "set").select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"), "set")
+    wanted = classes.join(met, "set", "left_semi").select(_row_key(F.col("first.doc_id"), F.col("first.text_hash")).alias("key"))
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, F.col("key"), MARKS))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
-        for rows, texts in text_chunks(batches):
+        for _, texts in text_chunks(b.filter(pa.array(_has(sent.value, b.column("key")))) for b in batches):
             found = [shingles(t, known) for t in texts]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([rows.column("set"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], ["set", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(_set_ids(found)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], ["set", "shingles"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("set", "text")
+    texts = docs.select(F.col("text").cast("string").alias("text"), _row_key(F.col("doc_id"), F.xxhash64("text")).alias("key"))
     # of equal rows one is enough
-    sets = materialize(texts.mapInArrow(run, "set long, shingles array<long>").dropDuplicates(["set"]), "shingles")
+    sets = materialize(texts.mapInArrow(run, "set long, shingles array<long>").join(met, "set", "left_semi").dropDuplicates(["set"]), "shingles")
     both = pairs.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b")
     return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
+def _postings(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """(h, set, n, at) of each set's prefix, once for each set; only rows that may have a copy are dealt out for that."""
+    key = _row_key(F.col("doc_id"), F.col("text_hash"))
+    copied = _marked(found.join(classes.where("copies > 1"), "set", "left_semi"), key, key)
+    firsts = classes.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    some = found.where(copied).join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left_semi").dropDuplicates(["set"])
+    each = found.where(~copied).unionByName(some).select("set", "n", F.posexplode("prefix").alias("at", "h"))
+    return each.select("h", "set", "n", F.col("at").cast("long").alias("at"))
+
+
 def near_copy_dedup(docs: DataFrame) -> DataFrame:
     """One row of docs for each component of near copies: the one with the smallest (doc_id, hash of the text), null ids last; of equal rows, one."""
-    found = _sets(docs)
+    found = materialize(_sets(docs), "shingle-sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    classes = materialize(found.groupBy("set").agg(first.alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "shingle-sets")
-    postings = classes.select("set", "n", F.posexplode("prefix").alias("at", "h")).select("h", "set", "n", F.col("at").cast("long").alias("at"))
-    met = materialize(postings.repartition("h").sortWithinPartitions("h", "n", "set").mapInArrow(_first_round, "set long, other long, h long, n long, at long"), "first-round")
+    classes = found.groupBy("set").agg(first.alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = materialize(classes, "set-classes")
+    met = materialize(_postings(found, classes).repartition("h").sortWithinPartitions("h", "n", "set").mapInArrow(_first_round, "set long, other long, h long, n long, at long"), "first-round")
     links = materialize(_similar(docs, classes, met.where("other is not null").select(F.col("set").alias("a"), F.col("other").alias("b"))), "first-links")
     roots = components(links)
     crowded = met.where("other is null").join(roots.withColumnRenamed("node", "set"), "set", "left").select("h", "set", "n", "at", F.coalesce("root", "set").alias("root"))
     rest = crowded.repartition("h").sortWithinPartitions("h", "n", "set").mapInArrow(_second_round, "a long, b long")
     roots = components(links.unionByName(_similar(docs, classes, rest)))
-    joined = classes.join(roots.withColumnRenamed("node", "set"), "set", "left").select(F.coalesce("root", "set").alias("root"), "first")
+    joined = classes.join(roots.withColumnRenamed("node", "set"), "set", "left").select("set", F.coalesce("root", "set").alias("root"), "first", (F.col("root").isNotNull() | (F.col("copies") > 1)).alias("copied"))
+    joined = materialize(joined, "roots")
     keep = joined.groupBy("root").agg(F.min("first").alias("least")).select(F.col("least.doc_id").alias("id"), F.col("least.text_hash").alias("hash"))
-    return first_rows(docs, keep)
+    # rows without a copy stay where they are
+    key = _row_key(F.col("doc_id"), F.col("text_hash"))
+    copied = _marked(found.join(joined.where("copied"), "set", "left_semi"), key, _row_key(F.col("doc_id"), F.xxhash64("text")))
+    return docs.where(~copied).union(first_rows(docs.where(copied), keep))

@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+
 import corpus_pipeline as P
 from snaplake.llm import near_copies as N
 
@@ -67,3 +69,33 @@ def test_second_round_finds_what_the_first_leaves_out(spark, documents):
 
 def test_empty_table(spark, documents):
     assert N.near_copy_dedup(documents([])).count() == 0
+
+
+def test_parities_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, rng.integers(1, 700)))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.random()], rng.integers(-(1 << 63), (1 << 63) - 1, rng.integers(1, 300))]))
+        apart = len(np.setxor1d(a, b))
+        assert N.unlike(N.parities(a), N.parities(b)) <= apart and N.unlike(N.parities(a), N.parities(a)) == 0
+
+
+def test_unlike_sets_that_meet_are_not_read_again(spark, documents, monkeypatch):
+    # each two share a passage, so they meet, but only the last are alike
+    rng = random.Random(8)
+    made = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(30):
+        passage = made(25)
+        rows += [(2 * k, " ".join(made(35) + passage)), (2 * k + 1, " ".join(passage + made(35)))]
+    rows.append((60, rows[59][1] + " more"))
+    written, write = {}, N.materialize
+
+    def spy(df, name):
+        out = write(df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(N, "materialize", spy)
+    assert sorted(r["doc_id"] for r in N.near_copy_dedup(documents(rows)).collect()) == brute(rows) == list(range(60))
+    assert written["candidates"] > 20 and written["shingles"] <= 4
