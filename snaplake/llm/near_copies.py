@@ -1,19 +1,23 @@
-"""Near copies by shingles: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, found without loss.
+"""Near copies by shingles: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, found without loss
+by a binary trie self-join of SimHash fingerprints and an exact check.
 
 Shingles: words are those of simhash.fingerprint (A-Z lower-cased, runs without space and \\t..\\r); a shingle is SHINGLE words,
-known by a 64-bit hash; a text of fewer words is one shingle, also one without words.
+known by a 64-bit hash; a text of fewer words is one shingle, also one without words.  Only distinct sets are compared.  A set's
+fingerprint has a 1 where over half of its shingles' hashes have one.
 
-Candidates: only distinct sets are compared.  With the shingles of every set in one order, two sets of similarity 0.8 share one of the first n - ceil(0.8 n) + 1
+Keys of the join: with the shingles of every set in one order, two sets of similarity 0.8 share one of the first n - ceil(0.8 n) + 1
 of their n shingles.  Any order is right; shingles that are common in a sample come last, so few sets meet.  A pair is followed
 up only if its sizes, and what is left of both sets after the shared shingle, allow the similarity.
 
-Rounds: in a first round each set of a shingle's group is paired with the one before it and the group's first; in a second one, all
-pairs of the groups whose components still differ.  So a large group of near copies costs its size, and no pair that could join two components
-goes unchecked.
+Links: below a key, sorted fingerprints are the leaves of a binary trie.  In a first round each leaf is paired with the one before
+it, which ties the halves of every node, and with the first.  In a second one the trie is joined with itself, as in simhash, with
+a budget of BITS; nodes that the first round has put into one component are not followed down.  So a large group of near copies costs its
+size.  At similarity 0.8 a bit differs with a probability of about 0.15, 10 bits of 64, so hardly a link is outside the budget; pairs of
+a key that are outside it, or whose fingerprints are equal, and whose components differ, are the rest, which isn't dropped.
 
 Checks: each set has a sketch of n to 2 n bits, the parities of how many shingles fall on each.  The bits in which two sketches differ are
-no more than the shingles that only one set has, so a pair with too many can't be similar.  The shingles of what is left
-are intersected.
+no more than the shingles that only one set has, so a pair with too many can't be similar.  The shingles of what is left, of the trie
+join and of the rest, are intersected.
 
 Disk: prefixes and sketches are written once, texts are read again only for the sets of the last check, and of the documents only those are
 dealt out that may have a copy.  Which ones these are is told by bitmaps of a fixed size; false positives cost time only.
@@ -36,11 +40,13 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, held, materialize, spread, text_chunks
 from .components import components
 from .line_dedup import bitmap
-from .simhash import ROWS_AT_ONCE, first_rows
+from .simhash import ROWS_AT_ONCE, first_rows, trie_links
 
 SHINGLE = 5
 #: Documents of the sample that tells which shingles are common, and how many of those are told to the tasks.
 SAMPLE_DOCS, COMMON = 20_000, 200_000
+#: Differing bits of 64 within which the trie join pairs fingerprints; rows and pairs of nodes that it holds at once.
+BITS, TRIE_ROWS, FRONTIER = 24, 50_000, 200_000
 #: Size of the bitmaps that tell which rows are read again or dealt out.
 MARKS = 1 << 25
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -93,6 +99,14 @@ def _prefix(found: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndar
     return found[np.lexsort((found, often))][: len(found) - (4 * len(found) + 4) // 5 + 1]
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """The SimHash of a set of shingles, as a signed long."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(found), 65536):
+        counts += np.unpackbits(found[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(found), bitorder="little").view("<i8")[0])
+
+
 def parities(found: np.ndarray) -> bytes:
     """Whether an odd number of shingles falls on each bit; there are n to 2 n bits, a power of two, 64 at least."""
     bits = max(64, 1 << (len(found) - 1).bit_length())
@@ -111,7 +125,7 @@ def unlike(x: bytes, y: bytes) -> int:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, set, n, sketch, prefix) of each row of docs; equal sets have equal values."""
+    """(doc_id, text_hash, set, n, fp, sketch, prefix) of each row of docs; equal sets have equal values."""
     key, sent = uuid.uuid4().hex, bounded_batches(docs.sparkSession).sparkContext.broadcast(_common(docs))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,11 +135,11 @@ def _sets(docs: DataFrame) -> DataFrame:
             cut = [_prefix(f, sent.value) for f in found]
             ends = np.cumsum([0, *map(len, cut)]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cut)))
-            values = [pa.array(_set_ids(found)), pa.array(list(map(len, found)), pa.int64()), pa.array(list(map(parities, found)), pa.binary())]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), *values, prefix], ["doc_id", "text_hash", "set", "n", "sketch", "prefix"])
+            values = [pa.array(_set_ids(found)), pa.array(list(map(len, found)), pa.int64()), pa.array(list(map(fingerprint, found)), pa.int64()), pa.array(list(map(parities, found)), pa.binary())]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), *values, prefix], ["doc_id", "text_hash", "set", "n", "fp", "sketch", "prefix"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, set long, n long, sketch binary, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, set long, n long, fp long, sketch binary, prefix array<long>")
 
 
 def _set_ids(found: list[np.ndarray]) -> np.ndarray:
@@ -189,36 +203,70 @@ def _bounds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _first_round(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (set, other) of each row with the one before it and its group's first; and the rows of groups of three or more, other null."""
-    for h, s, n, at in _groups(batches, ["h", "set", "n", "at"]):
+    """Pairs (set, other) of each leaf with the one before it and its key's first, within the budget; and the rows of keys of three or more, other null."""
+    for h, s, n, at, fp in _groups(batches, ["h", "set", "n", "at", "fp"]):
         if not len(h):
             continue
         head, end = _bounds(h)
         i = np.flatnonzero(np.arange(len(h)) > head)
         i, j = np.concatenate([i, i]), np.concatenate([i - 1, head[i]])
-        ok = _may_be(n, at, i, j)
+        ok = _may_be(n, at, i, j) & ((np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= BITS) | (end - head == 2)[i])
         pairs = np.unique(np.column_stack([np.minimum(s[i], s[j])[ok], np.maximum(s[i], s[j])[ok]]), axis=0)
         rows = np.flatnonzero(end - head > 2)
         none = pa.nulls(len(pairs), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none, none], ["set", "other", "h", "n", "at"])
-        yield pa.RecordBatch.from_arrays([pa.array(s[rows]), pa.nulls(len(rows), pa.int64()), pa.array(h[rows]), pa.array(n[rows]), pa.array(at[rows])], ["set", "other", "h", "n", "at"])
+        names = ["set", "other", "h", "n", "at", "fp"]
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none, none, none], names)
+        yield pa.RecordBatch.from_arrays([pa.array(s[rows]), pa.nulls(len(rows), pa.int64()), pa.array(h[rows]), pa.array(n[rows]), pa.array(at[rows]), pa.array(fp[rows])], names)
+
+
+def _joined(h: np.ndarray, fp: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of rows of one key whose components differ and whose fingerprints, sorted below the key, differ by 1 to BITS bits: the tries' self-join."""
+    start = 0
+    while start < len(h):
+        stop = min(start + TRIE_ROWS, len(h))
+        if stop < len(h):
+            last = np.flatnonzero(h[start:stop] != h[stop])  # the last key may go on
+            stop = start + int(last[-1]) + 1 if len(last) else start + int(np.argmax(np.append(h[start:], ~h[start]) != h[start]))
+        part = slice(start, stop)
+        for i, j in trie_links(h[part], fp[part], 64, BITS, root[part], FRONTIER):
+            yield start + i, start + j
+        start = stop
+
+
+def _rest(h: np.ndarray, n: np.ndarray, fp: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of the pairs that _joined can't give: equal fingerprints, or more than BITS bits apart; their components differ too."""
+    by = np.lexsort((n, h))
+    h, n, fp, root = h[by], n[by], fp[by], root[by]
+    _, end = _bounds(h)
+    i, lag = np.arange(len(h)), 1
+    while len(i := i[i + lag < end[i]]) and len(i := i[4 * n[i + lag] <= 5 * n[i]]):
+        j = i + lag
+        bits = np.bitwise_count(fp[i] ^ fp[j])
+        ok = (root[i] != root[j]) & ((bits == 0) | (bits > BITS))
+        if ok.any():
+            yield by[i[ok]], by[j[ok]]
+        lag += 1
 
 
 def _second_round(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of each group that the first round left out and whose components differ."""
-    for h, s, n, at, root in _groups(batches, ["h", "set", "n", "at", "root"]):
+    """The pairs of each key whose components differ: those of the trie join, and the rest."""
+    for h, s, n, at, fp, root in _groups(batches, ["h", "set", "n", "at", "fp", "root"]):
         if not len(h):
             continue
-        head, end = _bounds(h)
+        head, _ = _bounds(h)
         mixed = np.zeros(len(h), bool)
         mixed[head[root != root[head]]] = True
-        i, lag = np.flatnonzero(mixed[head] & (np.arange(len(h)) > head)), 2
-        while len(i := i[i + lag < end[i]]) and len(i := i[4 * n[i + lag] <= 5 * n[i]]):
-            j = i + lag
-            ok = (root[i] != root[j]) & _may_be(n, at, i, j)
-            if ok.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s[i], s[j])[ok]), pa.array(np.maximum(s[i], s[j])[ok])], ["a", "b"])
-            lag += 1
+        # longs are sorted with their signs: with the first bit turned they are in the order of unsigned ones, which the tries need
+        fp = fp.view(np.uint64) ^ np.uint64(1 << 63)
+        h, s, n, at, fp, root = (x[mixed[head]] for x in (h, s, n, at, fp, root))
+        if not len(h):
+            continue
+        for found in (_joined(h, fp, root), _rest(h, n, fp, root)):
+            for i, j in found:
+                ok = _may_be(n, at, i, j)
+                if ok.any():
+                    i, j = s[i[ok]], s[j[ok]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
 
 
 def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,13 +301,13 @@ def _similar(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
 
 
 def _postings(found: DataFrame, classes: DataFrame) -> DataFrame:
-    """(h, set, n, at) of each set's prefix, once for each set; only rows that may have a copy are dealt out for that."""
+    """(h, set, n, at, fp) of each set's prefix, once for each set; only rows that may have a copy are dealt out for that."""
     key = _row_key(F.col("doc_id"), F.col("text_hash"))
     copied = _marked(found.join(classes.where("copies > 1"), "set", "left_semi"), key, key)
     firsts = classes.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
     some = found.where(copied).join(firsts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left_semi").dropDuplicates(["set"])
-    each = found.where(~copied).unionByName(some).select("set", "n", F.posexplode("prefix").alias("at", "h"))
-    return each.select("h", "set", "n", F.col("at").cast("long").alias("at"))
+    each = found.where(~copied).unionByName(some).select("set", "n", "fp", F.posexplode("prefix").alias("at", "h"))
+    return each.select("h", "set", "n", F.col("at").cast("long").alias("at"), "fp")
 
 
 def near_copy_dedup(docs: DataFrame) -> DataFrame:
@@ -268,11 +316,11 @@ def near_copy_dedup(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     classes = found.groupBy("set").agg(first.alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "set-classes")
-    met = materialize(_postings(found, classes).repartition("h").sortWithinPartitions("h", "n", "set").mapInArrow(_first_round, "set long, other long, h long, n long, at long"), "first-round")
+    met = materialize(_postings(found, classes).repartition("h").sortWithinPartitions("h", "fp", "set").mapInArrow(_first_round, "set long, other long, h long, n long, at long, fp long"), "first-round")
     links = materialize(_similar(docs, classes, met.where("other is not null").select(F.col("set").alias("a"), F.col("other").alias("b"))), "first-links")
     roots = components(links)
-    crowded = met.where("other is null").join(roots.withColumnRenamed("node", "set"), "set", "left").select("h", "set", "n", "at", F.coalesce("root", "set").alias("root"))
-    rest = crowded.repartition("h").sortWithinPartitions("h", "n", "set").mapInArrow(_second_round, "a long, b long")
+    crowded = met.where("other is null").join(roots.withColumnRenamed("node", "set"), "set", "left").select("h", "set", "n", "at", "fp", F.coalesce("root", "set").alias("root"))
+    rest = crowded.repartition("h").sortWithinPartitions("h", "fp", "set").mapInArrow(_second_round, "a long, b long")
     roots = components(links.unionByName(_similar(docs, classes, rest)))
     joined = classes.join(roots.withColumnRenamed("node", "set"), "set", "left").select("set", F.coalesce("root", "set").alias("root"), "first", (F.col("root").isNotNull() | (F.col("copies") > 1)).alias("copied"))
     joined = materialize(joined, "roots")

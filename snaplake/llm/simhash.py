@@ -66,23 +66,28 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
-def trie_links(group: np.ndarray, bits: np.ndarray, width: int, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j) of rows of one group whose bits differ in at most `budget` places, in blocks.
+def trie_links(group: np.ndarray, bits: np.ndarray, width: int, budget: int = BUDGET, root: np.ndarray | None = None, frontier: int = FRONTIER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of rows of one group whose bits differ in 1 to `budget` places, in blocks.
 
     group and bits are sorted together; bits (uint64) count from `width` - 1 down.  A node of the trie is a range of rows
-    that agree in the bits above its depth.
+    that agree in the bits above its depth.  With `root`, pairs of rows of equal roots are left out, and nodes that hold one root are not joined.
     """
     n = len(bits)
     heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.zeros(0, np.int64)
     tails = np.append(heads[1:], n)
     many = tails - heads > 1
     heads, tails = heads[many], tails[many]
+    if root is not None:
+        turns = np.flatnonzero(np.append(root[1:] != root[:-1], True)) + 1
+        run = np.repeat(turns, np.diff(np.append(0, turns)))  # place after the last row of the run of equal roots
+        split = run[heads] < tails
+        heads, tails = heads[split], tails[split]
     ones = [np.concatenate([[0], np.cumsum((bits >> np.uint64(d)) & np.uint64(1), dtype=np.int64)]) for d in range(width)]
     # pairs of nodes at equal depth: rows [a0, a1) and [b0, b1), and the bits that differ above
     stack = [(width, np.column_stack([heads, tails, heads, tails, np.zeros(len(heads), np.int64)]))]
     while stack:
         depth, pairs = stack.pop()
-        if len(pairs) > FRONTIER:
+        if len(pairs) > frontier:
             half = len(pairs) // 2
             stack += [(depth, pairs[:half]), (depth, pairs[half:])]
             continue
@@ -96,7 +101,13 @@ def trie_links(group: np.ndarray, bits: np.ndarray, width: int, budget: int = BU
                 yield i[near], j[near]
             a0, a1, b0, b1, diff = pairs[~single].T
         if depth == 0 or not len(a0):
-            # equal bits throughout: rows of one node are distinct fingerprints only above depth 0, so nothing is left
+            # equal bits throughout each node; both nodes of a pair are one if no bit differs
+            for x0, x1, y0, y1 in zip(*(x[a0 != b0] for x in (a0, a1, b0, b1)), strict=True):
+                for x in range(x0, x1):
+                    y = np.arange(y0, y1)
+                    y = y if root is None else y[root[y] != root[x]]
+                    if len(y):
+                        yield np.full(len(y), x), y
             continue
         count = ones[depth - 1]
         am, bm = a1 - (count[a1] - count[a0]), b1 - (count[b1] - count[b0])
@@ -110,6 +121,9 @@ def trie_links(group: np.ndarray, bits: np.ndarray, width: int, budget: int = BU
         pairs = np.concatenate(below)
         pairs = pairs[(pairs[:, 1] > pairs[:, 0]) & (pairs[:, 3] > pairs[:, 2]) & (pairs[:, 4] <= budget)]
         pairs = pairs[~((pairs[:, 0] == pairs[:, 2]) & (pairs[:, 1] - pairs[:, 0] == 1) & (pairs[:, 3] - pairs[:, 2] == 1))]  # a row with itself
+        if root is not None:
+            a0, a1, b0, b1, _ = pairs.T
+            pairs = pairs[(root[a0] != root[b0]) | (run[a0] < a1) | (run[b0] < b1)]
         if len(pairs):
             stack.append((depth - 1, pairs))
 

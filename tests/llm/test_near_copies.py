@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline as P
 from snaplake.llm import near_copies as N
@@ -71,6 +72,35 @@ def test_empty_table(spark, documents):
     assert N.near_copy_dedup(documents([])).count() == 0
 
 
+def flipped(base, bits):
+    for b in bits:
+        base ^= 1 << int(b)
+    return base
+
+
+def test_tries_below_the_keys_and_the_rest_give_every_pair(monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(N, "TRIE_ROWS", 40)
+    bases = [int(x) for x in rng.integers(0, 1 << 63, 5)]
+    rows = []
+    for i in range(200):  # 0 to 16 bits from a base, so also equal fingerprints, and pairs beyond the budget
+        fp = flipped(bases[i % 5] | (i % 2) << 63, rng.integers(0, 64, rng.integers(0, 17)))
+        rows.append((int(rng.integers(-4, 4)), i, int(rng.integers(80, 101)), fp - (fp >> 63 << 64), int(rng.integers(0, 4))))
+    rows.sort(key=lambda r: (r[0], r[3], r[1]))
+    h, s, n, fp, root = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+    pairs = lambda found: sorted(tuple(sorted((int(s[a]), int(s[b])))) for i, j in found for a, b in zip(i, j, strict=True))
+    turned = fp.view(np.uint64) ^ np.uint64(1 << 63)
+    trie, rest = pairs(N._joined(h, turned, root)), pairs(N._rest(h, n, turned, root))
+    want = [(a, b, (a[3] ^ b[3]) & (1 << 64) - 1) for a, b in itertools.combinations(rows, 2) if a[0] == b[0] and a[4] != b[4]]
+    inside = lambda x: 1 <= x.bit_count() <= N.BITS
+    fits = lambda a, b: 4 * max(a[2], b[2]) <= 5 * min(a[2], b[2])
+    assert trie == sorted(tuple(sorted((a[1], b[1]))) for a, b, x in want if inside(x)) and len(trie) > 100
+    assert rest == sorted(tuple(sorted((a[1], b[1]))) for a, b, x in want if not inside(x) and fits(a, b)) and len(rest) > 100
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (h, s, n, np.zeros(200, np.int64), fp, root)], ["h", "set", "n", "at", "fp", "root"])
+    found = [tuple(r.values()) for b in N._second_round(iter([batch.slice(0, 90), batch.slice(90)])) for r in b.to_pylist()]
+    assert sorted(found) == sorted(tuple(sorted((a[1], b[1]))) for a, b, x in want if (inside(x) or fits(a, b)) and 9 * min(a[2], b[2]) >= 4 * (a[2] + b[2]))
+
+
 def test_parities_never_rule_out_a_similar_pair():
     rng = np.random.default_rng(3)
     for _ in range(300):
