@@ -44,7 +44,7 @@ from .simhash import ROWS_AT_ONCE, first_rows, trie_links
 
 SHINGLE = 5
 #: Documents of the sample that tells which shingles are common, and how many of those are told to the tasks.
-SAMPLE_DOCS, COMMON = 20_000, 200_000
+SAMPLE_DOCS, COMMON = 40_000, 400_000
 #: Differing bits of 64 within which the trie join pairs fingerprints; rows and pairs of nodes that it holds at once.
 BITS, TRIE_ROWS, FRONTIER = 24, 50_000, 200_000
 #: Size of the bitmaps that tell which rows are read again or dealt out.
@@ -74,7 +74,7 @@ def shingles(text: str | None, known: dict) -> np.ndarray:
 
 
 def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles in rising order, how many documents of a sample have each), for those that three or more have."""
+    """(shingles in rising order, how many documents of a sample have each), for those that two or more have."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
@@ -83,7 +83,7 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     n = docs.count()
     picked = docs.where(spread(F.col("doc_id"), F.xxhash64("text"), F.lit("shingles")) < SAMPLE_DOCS / max(n, 1)).select(F.col("text").cast("string").alias("text"))
-    found = picked.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    found = picked.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
     h, n = found.column("h").to_numpy(), found.column("n").to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
