@@ -8,10 +8,12 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.catalog import ROW_FILE, ROW_ID, Snapshot, TableFolder
+from ..sources.catalog import ROW_FILE, ROW_ID, Resource, Snapshot, TableFolder
 from ..sources.scan import DELETIONS, deletions, file_key, live, path_key, read_files, without_deleted
 
 CHUNK_BYTES, MAX_SMALL_FILES, MAX_DELETION_ROWS = 16 << 20, 100, 1_000_000
+#: Rows of a file that merging or draining makes: bytes of files say little of the memory that a task needs to sort what compresses well.
+CHUNK_ROWS = 1_000_000
 
 
 def limits(folder: TableFolder) -> tuple[int, int, int]:
@@ -24,8 +26,13 @@ def gate_opens(sizes: list[int], chunk: int, most: int) -> bool:
     return len(small) >= most or sum(small) > chunk and len(small) > 1
 
 
-def _chunked(rows: DataFrame, size: int, chunk: int) -> DataFrame:
-    return rows.repartition(max(1, math.ceil(size / chunk)))
+def _small(resources: list[Resource], chunk: int) -> list[Resource]:
+    """Merging fills files to more than half of CHUNK_ROWS, so what it has made by rows isn't small again."""
+    return [r for r in resources if r.file_size < chunk and r.rows <= CHUNK_ROWS // 2]
+
+
+def _chunked(rows: DataFrame, sources: list[Resource], chunk: int) -> DataFrame:
+    return rows.repartition(max(1, math.ceil(sum(r.file_size for r in sources) / chunk), math.ceil(sum(r.rows for r in sources) / CHUNK_ROWS)))
 
 
 def drain(spark: SparkSession, folder: TableFolder, snapshot: Snapshot) -> Snapshot:
@@ -41,7 +48,7 @@ def drain(spark: SparkSession, folder: TableFolder, snapshot: Snapshot) -> Snaps
     made = []
     if touched:
         rows = without_deleted(read_files(spark, touched), dead, snapshot.deletion_rows)
-        made = write_files(_chunked(rows, sum(r.file_size for r in touched), limits(folder)[0]), folder, [])
+        made = write_files(_chunked(rows, touched, limits(folder)[0]), folder, [])
     return replace(snapshot, resources=kept + made, deletions=[], deletion_rows=0)
 
 
@@ -50,13 +57,13 @@ def merge(spark: SparkSession, folder: TableFolder, snapshot: Snapshot, small_on
     from .write import write_files
 
     chunk = limits(folder)[0]
-    small = [r for r in snapshot.resources if r.file_size < chunk or not small_only]
+    small = _small(snapshot.resources, chunk) if small_only else snapshot.resources
     if len(small) < 2:
         return snapshot
     names = {r.file for r in small}
     rest, dead = [r for r in snapshot.resources if r.file not in names], deletions(spark, snapshot)
     rows = without_deleted(read_files(spark, small), dead, snapshot.deletion_rows)
-    made = write_files(_chunked(rows, sum(r.file_size for r in small), chunk), folder, [])
+    made = write_files(_chunked(rows, small, chunk), folder, [])
     snapshot = replace(snapshot, resources=rest + made)
     if dead is None:
         return snapshot
@@ -71,7 +78,7 @@ def compacted(spark: SparkSession, folder: TableFolder, snapshot: Snapshot, forc
     chunk, most, dead_rows = limits(folder)
     if snapshot.deletions and (force and force_deletions or snapshot.deletion_rows >= dead_rows):
         snapshot = drain(spark, folder, snapshot)
-    if force or gate_opens([r.file_size for r in snapshot.resources], chunk, most):
+    if force or gate_opens([r.file_size for r in _small(snapshot.resources, chunk)], chunk, most):
         snapshot = merge(spark, folder, snapshot, small_only)
     return snapshot
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snaplake.lake import Lake, _within
-from snaplake.operators import audit, quality
+from snaplake.operators import audit, compact, quality
 from snaplake.operators.rbac import Role, compile_filter
 from snaplake.plans import dialect, pruning
 from snaplake.plans.pruning import Interval, comparison, prune, span
@@ -148,6 +148,19 @@ def test_small_files_are_merged_on_write(spark, lake):
     assert len(t.snapshot().resources) == 1 and len(seen(t)) == 3
 
 
+def test_merged_files_are_limited_by_rows_too(spark, lake):
+    """All of these rows have the bytes of one small file."""
+    t = lake.table("t")
+    t.append(spark.range(0, 2_400_000, numPartitions=6).select((F.col("id") % 2).alias("k")))
+    assert t.compact()["files_before"] == 6
+    rows = [r.rows for r in t.snapshot().resources]
+    assert sum(rows) == 2_400_000 and len(rows) == 3 and max(rows) < 1_000_000
+    assert sum(r.file_size for r in t.snapshot().resources) < compact.CHUNK_BYTES
+    assert {tuple(r) for r in t.read().groupBy("k").count().collect()} == {(0, 1_200_000), (1, 1_200_000)}
+    version = t.snapshot().version
+    assert t.compact()["version"] == version  # full by rows: not small again
+
+
 def test_widening():
     i, b, s, d = T.IntegerType(), T.LongType(), T.StringType(), T.DoubleType()
     assert widen(i, b) == b and widen(i, d) == d and widen(d, s) == s
