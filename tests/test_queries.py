@@ -49,3 +49,18 @@ def test_query(spark, other, name):
         assert mine == rows(want.columns, want.fetchall())
     else:
         assert mine
+
+
+def test_a_stream_over_many_files(spark, tmp_path, monkeypatch):
+    """No task gathers the events, and their order is of no matter."""
+    from snaplake.queries import lake_queries
+
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    events.repartition(3).sortWithinPartitions(events["ts"].desc()).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(lake_queries, "folder", lambda _: f"file://{tmp_path}/stream")
+    got = RUNS["st_stream_watermark"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = c.sql(SQL["st_stream_watermark"])
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
+    assert len(list((tmp_path / "stream" / "in").glob("*.parquet"))) > 1
