@@ -161,6 +161,17 @@ def test_merged_files_are_limited_by_rows_too(spark, lake):
     assert t.compact()["version"] == version  # full by rows: not small again
 
 
+def test_an_upsert_that_drains_limits_files_by_rows(spark, lake):
+    t = lake.table("t")
+    t.configure(max_deletion_rows=1)
+    base = spark.range(0, 2_400_000, numPartitions=1).select((F.col("id") / 4).cast("long").alias("k"), (F.col("id") % 4).alias("n"), F.lit(1.0).alias("q"))
+    t.append(base)
+    assert t.upsert(base.where("k % 1000 = 0 AND n = 1").withColumn("q", -F.col("q")), ["k", "n"])[2:] == (600, 600)
+    rows = [r.rows for r in t.snapshot().resources]
+    assert not t.snapshot().deletions and sum(rows) == 2_400_000 and max(rows) < 1_000_000
+    assert {tuple(r) for r in t.read().groupBy("q").count().collect()} == {(1.0, 2_399_400), (-1.0, 600)}
+
+
 def test_widening():
     i, b, s, d = T.IntegerType(), T.LongType(), T.StringType(), T.DoubleType()
     assert widen(i, b) == b and widen(i, d) == d and widen(d, s) == s
